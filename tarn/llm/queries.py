@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontaminate
+from .lines import OP10_SQL, op10_line_dedup
+from .shards import op8_sampled_splitters
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op8_sampled_splitters": op8_sampled_splitters,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
