@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontaminate
+from .langid import op7_language
 from .lines import OP10_SQL, op10_line_dedup
 from .shards import op8_sampled_splitters
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language": op7_language,
     "op8_sampled_splitters": op8_sampled_splitters,
     "op10_line_dedup": op10_line_dedup,
 }
