@@ -6,10 +6,12 @@ from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontaminate
 from .langid import op7_language
 from .lines import OP10_SQL, op10_line_dedup
+from .partenum import op1_partenum
 from .quality import op3_rule_ensemble
 from .shards import op8_sampled_splitters
 
 QUERIES = {
+    "op1_partenum": op1_partenum,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
