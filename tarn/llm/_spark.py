@@ -48,10 +48,13 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.drop_path(self.spark, f"{self.path}/{name}")
+
+    @staticmethod
+    def drop_path(spark: SparkSession, name: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

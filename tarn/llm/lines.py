@@ -88,8 +88,7 @@ class LineRuns:
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        Scratch.drop_path(self.spark, f"{self.folder}/{name}")
 
     def add(self, keys: DataFrame) -> None:
         """A batch: (h1, h2) once for each document and key. Keys already common need no more counting."""

@@ -6,6 +6,7 @@ from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontaminate
 from .langid import op7_language
 from .lines import OP10_SQL, op10_line_dedup
+from .ngram_lm import op9_deleted_interpolation
 from .partenum import op1_partenum
 from .quality import op3_rule_ensemble
 from .shards import op8_sampled_splitters
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_sampled_splitters": op8_sampled_splitters,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_line_dedup": op10_line_dedup,
 }
 
