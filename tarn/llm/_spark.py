@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker is handed at once.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
@@ -57,6 +58,25 @@ class Scratch:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Bucketed:
+    """Rows in hash buckets (column ``bucket``), written once as a table of the shared folder.
+
+    ``groupBy("bucket")`` on ``frame`` reads them in place, however often, without a shuffle.
+    """
+
+    def __init__(self, source: DataFrame, by: tuple, parts: int) -> None:
+        self.spark = source.sparkSession
+        self.name = f"tarn_buckets_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        source = source.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("bigint"))
+        source.write.bucketBy(parts, "bucket").option("path", self.path).saveAsTable(self.name)
+        self.frame = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        Scratch.drop_path(self.spark, self.path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle: what the session (or cluster) sets for its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -16,7 +16,6 @@ empty result; only id and text are read.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, partitions, shared_folder, table
+from ._spark import Bucketed, Scratch, bounded_batches, partitions, table
 from ._words import SPACED_LOWER, chunks, mix, words
 
 #: Context frequencies 0, 1, 2-3, 4-7, ... have weights of their own; the last bucket takes all above.
@@ -227,11 +226,9 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch, parts = Scratch(spark, "lm"), partitions(spark)
-    name = f"tarn_lm_{uuid.uuid4().hex}"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    source = source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("bigint"))
-    source.write.bucketBy(parts, "bucket").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    staged = spark.table(name)
+    stage = Bucketed(source, ("doc_id", F.octet_length("text")), parts)
+    staged = stage.frame
     sent = staged.groupBy("bucket").applyInArrow(_send(parts), "part long, bucket long, gram int, keys binary, counts binary")
     totals = sent.groupBy("part").applyInArrow(_total, "bucket long, part long, gram int, counts binary, types long, tokens long")
     totals = scratch.write(totals, "totals")
@@ -249,8 +246,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(parts, total, types, spark.sparkContext.broadcast(weights)), schema)
     scored = scratch.write(scored, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    Scratch.drop_path(spark, f"{shared_folder(spark)}/{name}")
+    stage.drop()
     scratch.drop("totals")
     return scored
 

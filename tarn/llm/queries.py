@@ -10,9 +10,11 @@ from .ngram_lm import op9_deleted_interpolation
 from .partenum import op1_partenum
 from .quality import op3_rule_ensemble
 from .shards import op8_sampled_splitters
+from .substrings import op2_suffix_trees
 
 QUERIES = {
     "op1_partenum": op1_partenum,
+    "op2_suffix_trees": op2_suffix_trees,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
