@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op5_multiprobe
 from .bpe import op4_byte_bpe
 from .decontaminate import op6_decontaminate
 from .langid import op7_language
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_suffix_trees": op2_suffix_trees,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_multiprobe": op5_multiprobe,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op8_sampled_splitters": op8_sampled_splitters,
