@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Disk:
+    # fixed values: the modelled disk
     block_bytes: int = 4096
     rpm: int = 7200
     blocks_per_track: int = 1024

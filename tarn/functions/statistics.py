@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed values of the statistics
 #: Distinct values up to which counts are exact; beyond, a HyperLogLog estimate of 2^12 registers.
 EXACT_DISTINCT, RELATIVE_ERROR = 10_000, 0.0173
 #: Rows a histogram is made from, its buckets, and the distinct strings up to which strings have one.

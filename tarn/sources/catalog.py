@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Declared type names of the catalog document.
+#: Declared type names of the catalog document. Fixed values of the format.
 TYPES: dict[str, T.DataType] = {"Int32": T.IntegerType(), "Int64": T.LongType(), "Float32": T.FloatType(), "Float64": T.DoubleType(), "String": T.StringType()}
 NAMES = {kind.simpleString(): name for name, kind in TYPES.items()}
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Fixed values of the format
 BLOCK_BYTES = 4096
 _CODES = {"int": "<i", "bigint": "<q", "float": "<f", "double": "<d"}
 
