@@ -34,7 +34,7 @@ UNKNOWN = "und"
 ORDER = 4
 #: The classifier is fitted on at most this many texts of each language, those with the least hash of the id among
 #: the texts of at most so many bytes.
-TEXTS_A_LANGUAGE, BYTES_A_TEXT = 1500, 20_000
+TEXTS_A_LANGUAGE, BYTES_A_TEXT = 300, 10_000
 #: Every so-manieth training text calibrates the rejection instead of being counted.
 CALIBRATE_EVERY = 5
 #: Letters that have a symbol of their own; the others share one. Six bits a symbol.
