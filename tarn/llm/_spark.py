@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,12 @@ class Bucketed:
         Scratch.drop_path(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle: what the session (or cluster) sets for its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -15,7 +15,8 @@ Two refinements keep signatures few and buckets small without losing a pair:
   unless a set has too few usable groups; such sets add them for the first groups. Any choice of frequent features
   gives the same links; a bounded list of the most frequent ones is taken.
 
-Candidates are verified on the sets themselves. A bucket is checked against its first member; members found
+Candidates first compare parity sketches: bit maps in which each feature flips one bit, so that they differ in no more
+places than the sets do. Pairs that this leaves open are verified on the sets themselves. A bucket is checked against its first member; members found
 linked need no further look; pairs of a bucket that are still in different components after that are checked too, so
 components are exact. Texts with equal sets share one handle and are never compared.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, partitions, table
+from ._spark import Scratch, bounded_batches, partitions, release, table
 from ._words import SPACED_LOWER, chunks, mix, ngram_hashes, words
 from .components import components
 
@@ -47,8 +48,10 @@ BAND = 2.37
 #: Bands with at most so many features have one part a group (all features of a group must agree).
 SMALL = 40
 PARTS = 3
-#: Frequent features: those that stand out in so many sets of a chunk are counted, and the most frequent are listed.
-FREQUENT_IN_CHUNK, FREQUENT, MOST_FREQUENT = 3, 24, 1 << 17
+#: Frequent features: those that so many of the sets that a task gathers have are counted, and the most frequent listed.
+GATHERED, FREQUENT_THERE, FREQUENT, MOST_FREQUENT = 1 << 21, 3, 24, 1 << 17
+#: Bits of a sketch: a power of two from twice the features, within bounds.
+LEAST_BITS, MOST_BITS = 8, 16
 #: Signatures that a task gathers before it deals them out.
 FLUSH = 1 << 20
 #: Bits of the filter that keeps texts without a candidate from the verification (a full filter only lets more through).
@@ -175,25 +178,59 @@ def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """A parity bit map of each set; one of more bits folds onto one of fewer."""
+    size = sets.size
+    bits = np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))), LEAST_BITS, MOST_BITS).astype(np.int64)
+    out = [b""] * len(size)
+    for width in np.unique(bits).tolist():
+        for own in np.array_split(np.flatnonzero(bits == width), max(1, int((bits == width).sum()) << width >> 22)):
+            many = size[own]
+            at = np.repeat(sets.first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            place = (mix(sets.feature[at]) & np.uint64((1 << width) - 1)).astype(np.int64)
+            flips = np.bincount((np.repeat(np.arange(len(own)), many) << width) + place, minlength=len(own) << width)
+            packed = np.packbits((flips & 1).astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            for i, row in zip(own.tolist(), packed, strict=True):
+                out[i] = row.tobytes()
+    return out
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """In at least so many features the sets of two sketches differ."""
+    a, b = (np.frombuffer(s, np.uint64) for s in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _describe(shingle: int):
-    """Rows (doc_id, n_shingles, handle, null, null) of texts, and (null, .., feature, sets) of features frequent in a chunk."""
+    """Rows (doc_id, n_shingles, handle, sketch, null, null) of texts, and (null, .., feature, sets) of features frequent in a task."""
+    names = ["doc_id", "n_shingles", "handle", "sketch", "feature", "sets"]
+
+    def counted(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        feature, count = np.unique(np.concatenate(held), return_counts=True)
+        feature, count = feature[count >= FREQUENT_THERE], count[count >= FREQUENT_THERE]
+        m = len(feature)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), _signed(feature), pa.array(count)], names)
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen, id_type = [], 0, set(), pa.int64()
         for whole in stream:
             for batch in chunks(whole, "text"):
                 sets = sets_of(batch.column(1), shingle)
-                n = batch.num_rows
-                _, one = np.unique(sets.handle, return_index=True)
-                once = np.zeros(n, bool)
-                once[one] = True
-                feature, count = np.unique(sets.feature[once[sets.text_of]], return_counts=True)
-                feature, count = feature[count >= FREQUENT_IN_CHUNK], count[count >= FREQUENT_IN_CHUNK]
-                m = len(feature)
-                names = ["doc_id", "n_shingles", "handle", "feature", "sets"]
+                n, id_type = batch.num_rows, batch.column(0).type
                 blank = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), _signed(sets.handle), blank, blank], names)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), _signed(feature), pa.array(count)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), _signed(sets.handle), pa.array(sketches(sets), pa.binary()), blank, blank], names)
+                fresh = np.array([h not in seen and not seen.add(h) for h in sets.handle.tolist()], bool)
+                held.append(sets.feature[fresh[sets.text_of]])
+                size += len(held[-1])
+                if size >= GATHERED:
+                    yield counted(held, id_type)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield counted(held, id_type)
 
     return over
 
@@ -299,7 +336,7 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
 
 def _fetch(shingle: int, maybe):
-    """(handle, n, features) of the texts that may have candidates, copies in a task once."""
+    """(handle, features) of the texts that may have candidates, copies in a task once."""
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -315,66 +352,108 @@ def _fetch(shingle: int, maybe):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 body = [sets.feature[sets.first[i] : sets.first[i + 1]].tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays([_signed(sets.handle[rows]), pa.array(sets.size[rows]), pa.array(body, pa.binary())], ["handle", "n", "features"])
+                yield pa.RecordBatch.from_arrays([_signed(sets.handle[rows]), pa.array(body, pa.binary())], ["handle", "features"])
 
     return over
 
 
+def _maybe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs (a, b) whose sketches leave open that they are linked; n is the sum of their sizes."""
+    for batch in stream:
+        bounds = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+        keep = [least_difference(x, y) <= n // 7 for n, x, y in bounds]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    one = classes.select(F.col("handle").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    two = classes.select(F.col("handle").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    return near.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y").mapInArrow(_maybe, "a long, b long")
+
+
+def _fetched(source: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(handle, features) of the sets in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("handle")).distinct()
+    maybe = source.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    sets = source.mapInArrow(_fetch(shingle, maybe), "handle long, features binary")
+    return sets.join(wanted, "handle", "left_semi").dropDuplicates(["handle"])
+
+
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of the pairs (a, b)."""
-    one = sets.select(F.col("handle").alias("a"), F.col("n").alias("n_a"), F.col("features").alias("x"))
-    two = sets.select(F.col("handle").alias("b"), F.col("n").alias("n_b"), F.col("features").alias("y"))
-    near = pairs.join(one.drop("x"), "a").join(two.drop("y"), "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    both = near.select("a", "b").join(two.select("b", "y"), "b").join(one.select("a", "x"), "a")
+    one = sets.select(F.col("handle").alias("a"), F.col("features").alias("x"))
+    two = sets.select(F.col("handle").alias("b"), F.col("features").alias("y"))
+    both = pairs.select("a", "b").join(two, "b").join(one, "a")
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, handle (of the set), component_id (the least id reachable by links)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    scratch = Scratch(spark, "partenum")
-    source = _read(docs, doc_id, text)
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    described = scratch.write(source.mapInArrow(_describe(shingle), f"doc_id {id_type}, n_shingles long, handle long, feature long, sets long"), "described")
-    rows = described.filter("n_shingles is not null").select("doc_id", "n_shingles", "handle")
+def _stars(source: DataFrame, described: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(bucket, leader, member) of all buckets of more than one set."""
+    spark = source.sparkSession
     frequent = described.filter("feature is not null").groupBy("feature").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT)
     listed = frequent.orderBy(F.desc("sets"), "feature").limit(MOST_FREQUENT).select("feature").toPandas()
     common = spark.sparkContext.broadcast(np.sort(listed["feature"].to_numpy(np.int64).view(np.uint64)))
     dealt = source.mapInArrow(_deal(shingle, common, partitions(spark)), "part long, blob binary")
-    stars = scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, leader long, member long"), "stars")
-    wanted = stars.select(F.explode(F.array("leader", "member")).alias("handle")).distinct()
-    maybe = spark.sparkContext.broadcast(_filter_of(wanted))
-    sets = scratch.write(source.mapInArrow(_fetch(shingle, maybe), "handle long, n long, features binary").dropDuplicates(["handle"]).join(wanted, "handle", "left_semi"), "sets")
+    return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, leader long, member long"), "stars")
+
 
+def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the sets that are linked."""
+    spark = source.sparkSession
+    tried = scratch.write(_open_pairs(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), classes), "open-1")
+    sets = scratch.write(_fetched(source, tried, shingle), "sets-1")
+    release(spark)
     # each member with one leader first: that settles most buckets
-    tried = scratch.write(stars.groupBy(F.col("member").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "tried-1")
-    links = scratch.write(_checked(tried, sets), "links-1")
+    one = scratch.write(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-1")
+    links = scratch.write(_checked(one, sets), "links-1")
     root = scratch.write(components(links, scratch, "cc-1"), "roots-1")
+    release(spark)
     # then the other leaders, where they are not in the same component already
-    again = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), root).select("a", "b")
-    again = scratch.write(again.join(tried, ["a", "b"], "left_anti"), "tried-2")
+    again = scratch.write(_apart(tried, root).join(one, ["a", "b"], "left_anti"), "pairs-2")
     more = scratch.write(_checked(again, sets), "links-2")
-    root = scratch.write(components(links.unionAll(more), scratch, "cc-2"), "roots-2")
+    links = links.unionAll(more)
+    root = scratch.write(components(links, scratch, "cc-2"), "roots-2")
+    release(spark)
     # then all pairs across components in the buckets that still have several
-    open_ = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root)
-    open_ = stars.join(open_.select("bucket").distinct(), "bucket", "left_semi")
-    nodes = open_.select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
-    nodes = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select(F.col("handle").alias("node"), "n"), "node")
-    nodes = scratch.write(nodes, "open")
+    rest = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
+    rest = stars.join(rest, "bucket", "left_semi")
+    nodes = rest.select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
+    nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n"), "node")
+    nodes = scratch.write(nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n"), "nodes")
     other = nodes.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    pairs = nodes.join(other, "bucket").filter("node < b and root <> root_b and 100 * least(n, n_b) >= 75 * greatest(n, n_b)")
-    pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
-    pairs = scratch.write(pairs.join(tried.unionAll(again), ["a", "b"], "left_anti"), "tried-3")
-    last = scratch.write(_checked(pairs, sets), "links-3")
-    root = scratch.write(components(links.unionAll(more).unionAll(last), scratch, "cc-3"), "roots-3")
-    scratch.drop("stars", "sets", "open")
-
-    least = rows.filter("n_shingles > 0").groupBy("handle").agg(F.min("doc_id").alias("least"))
-    classes = least.join(root, least["handle"] == root["node"], "left").select("handle", "least", F.coalesce("root", "handle").alias("root"))
-    of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(of_root, "root").select("handle", "component_id")
-    out = rows.join(classes, "handle", "left")
+    pairs = nodes.join(other, "bucket").filter(f"node < b and root <> root_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)")
+    pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(one.unionAll(again), ["a", "b"], "left_anti")
+    pairs = scratch.write(_open_pairs(pairs, classes), "pairs-3")
+    if not pairs.isEmpty():
+        sets = scratch.write(_fetched(source, pairs, shingle), "sets-2")
+        last = scratch.write(_checked(pairs, sets), "links-3")
+        root = scratch.write(components(links.unionAll(last), scratch, "cc-3"), "roots-3")
+    scratch.drop("open-1", "sets-1", "sets-2", "nodes")
+    return root
+
+
+def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, handle (of the set), component_id (the least id reachable by links)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark, "partenum")
+    source = _read(docs, doc_id, text)
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    described = scratch.write(source.mapInArrow(_describe(shingle), f"doc_id {id_type}, n_shingles long, handle long, sketch binary, feature long, sets long"), "described")
+    rows = described.filter("n_shingles is not null").select("doc_id", "n_shingles", "handle")
+    classes = described.filter("n_shingles > 0").groupBy("handle").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    classes = scratch.write(classes, "classes")
+    stars = _stars(source, described, shingle, scratch)
+    release(spark)
+    root = _links(source, stars, classes, shingle, scratch)
+    scratch.drop("stars")
+    release(spark)
+
+    known = classes.select("handle", "least").join(root, F.col("handle") == root["node"], "left").select("handle", "least", F.coalesce("root", "handle").alias("root"))
+    of_root = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = rows.join(known.join(of_root, "root").select("handle", "component_id"), "handle", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("handle")).alias("handle"), component.alias("component_id"))
 

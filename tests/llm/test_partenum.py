@@ -88,6 +88,20 @@ def test_similar_sets_share_a_signature():
                     assert of[i] & of[j], (i, j, len(a), len(raw[j]))
 
 
+def test_sketches_bound_the_difference():
+    texts = [t for _, t in corpus(9) if features(t)]
+    sets = partenum.sets_of(pa.array(texts, pa.string()))
+    sketch, raw = partenum.sketches(sets), [features(t) for t in texts]
+    draw = random.Random(1)
+    apart = 0
+    for _ in range(4000):
+        i, j = draw.randrange(len(raw)), draw.randrange(len(raw))
+        bound = partenum.least_difference(sketch[i], sketch[j])
+        assert bound <= len(raw[i] ^ raw[j])
+        apart += 100 * len(raw[i] & raw[j]) < 75 * len(raw[i] | raw[j]) and bound > (len(raw[i]) + len(raw[j])) // 7
+    assert apart > 3500
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 100_000))
 def test_bands_cover_all_similar_sizes(a):
