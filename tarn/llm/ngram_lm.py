@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, partitions, table
+from ._spark import Bucketed, Scratch, bounded_batches, even_keys, partitions, table
 from ._words import SPACED_LOWER, chunks, mix, words
 
 #: Context frequencies 0, 1, 2-3, 4-7, ... have weights of their own; the last bucket takes all above.
@@ -95,7 +95,9 @@ class Grams:
         return back[self.inverse]
 
 
-def _send(parts: int):
+def _send(keys: list[int]):
+    parts = len(keys)
+
     def over(texts: pa.Table) -> pa.Table:
         own = tokens(texts)
         learned = np.repeat(~np.array(texts.column("held_out").to_pylist(), bool), np.diff(own.first)).astype(float)
@@ -107,9 +109,9 @@ def _send(parts: int):
             for p in range(parts):
                 a, b = distinct.ends[p], distinct.ends[p + 1]
                 if b > a:
-                    rows.append((p, bucket, order, distinct.keys[a:b].tobytes(), _pack(counts[a:b])))
-        part, buckets, orders, keys, counts_ = zip(*rows, strict=True)
-        return pa.table({"part": pa.array(part, pa.int64()), "bucket": pa.array(buckets, pa.int64()), "gram": pa.array(orders, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts_, pa.binary())})
+                    rows.append((keys[p], bucket, order, distinct.keys[a:b].tobytes(), _pack(counts[a:b])))
+        part, buckets, orders, hashes, counts_ = zip(*rows, strict=True)
+        return pa.table({"part": pa.array(part, pa.int64()), "bucket": pa.array(buckets, pa.int64()), "gram": pa.array(orders, pa.int32()), "keys": pa.array(hashes, pa.binary()), "counts": pa.array(counts_, pa.binary())})
 
     return over
 
@@ -136,7 +138,7 @@ def _total(sent: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _counts(texts: pa.Table, totals: pa.Table, parts: int) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+def _counts(texts: pa.Table, totals: pa.Table, keys: list[int]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of a bucket and for each the corpus counts of the token, its context, and both."""
     own = tokens(texts)
     got: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
@@ -144,8 +146,8 @@ def _counts(texts: pa.Table, totals: pa.Table, parts: int) -> tuple[Tokens, np.n
         got[order][part] = raw
     found = []
     for order, grams in ((1, own.token), (2, own.pair)):
-        distinct = Grams(grams, parts)
-        values = [_unpack(got[order][p]) for p in range(parts) if distinct.ends[p + 1] > distinct.ends[p]]
+        distinct = Grams(grams, len(keys))
+        values = [_unpack(got[order][key]) for p, key in enumerate(keys) if distinct.ends[p + 1] > distinct.ends[p]]
         found.append(distinct.spread(np.concatenate(values)) if values else np.zeros(0, np.int64))
     single, both = found
     context = np.empty_like(single)
@@ -162,20 +164,20 @@ def bucket_of(frequency: np.ndarray) -> np.ndarray:
 _CELLS = "frequency long, unigram long, bigram long, n long, p1 double, p2 double"
 
 
-def _held_out(parts: int, total: int):
+def _held_out(keys: list[int], total: int):
     """Cells of training tokens, each predicted from counts without itself."""
 
     def over(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        own, single, context, both = _counts(texts, totals, parts)
+        own, single, context, both = _counts(texts, totals, keys)
         use = np.repeat(~np.array(texts.column("held_out").to_pylist(), bool), np.diff(own.first))
         c1, ch, c2 = single[use] - 1, context[use] - 1, both[use] - 1
         p1, p2 = c1 / max(total - 1, 1), c2 / np.maximum(ch, 1)
         cell = lambda p: np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1)) * CELLS_AN_OCTAVE), 1)  # noqa: E731  (1: zero)
-        key = np.column_stack([bucket_of(ch), cell(p1).astype(np.int64), cell(p2).astype(np.int64)])
-        code = (key[:, 0] << 40) + ((key[:, 1] + 1000) << 20) + (key[:, 2] + 1000)
+        place = np.column_stack([bucket_of(ch), cell(p1).astype(np.int64), cell(p2).astype(np.int64)])
+        code = (place[:, 0] << 40) + ((place[:, 1] + 1000) << 20) + (place[:, 2] + 1000)
         codes, at, inverse = np.unique(code, return_index=True, return_inverse=True)
         n = len(codes)
-        columns = [*(key[at, k] for k in range(3)), np.bincount(inverse, minlength=n), np.bincount(inverse, p1, n).astype(float), np.bincount(inverse, p2, n).astype(float)]
+        columns = [*(place[at, k] for k in range(3)), np.bincount(inverse, minlength=n), np.bincount(inverse, p1, n).astype(float), np.bincount(inverse, p2, n).astype(float)]
         return pa.table([pa.array(x) for x in columns], ["frequency", "unigram", "bigram", "n", "p1", "p2"])
 
     return over
@@ -195,9 +197,9 @@ def estimate(frequency: np.ndarray, n: np.ndarray, p1: np.ndarray, p2: np.ndarra
     return weights
 
 
-def _score(parts: int, total: int, types: int, weights):
+def _score(keys: list[int], total: int, types: int, weights):
     def over(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        own, single, context, both = _counts(texts, totals, parts)
+        own, single, context, both = _counts(texts, totals, keys)
         w = weights.value[bucket_of(context)]
         p = w[:, 0] / (types + 1) + w[:, 1] * single / max(total, 1) + w[:, 2] * both / np.maximum(context, 1)
         base = np.log10((single + 1) / (total + 1 * (types + 1)))
@@ -225,17 +227,17 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch, parts = Scratch(spark, "lm"), partitions(spark)
+    scratch, keys = Scratch(spark, "lm"), even_keys(spark, partitions(spark))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    stage = Bucketed(source, ("doc_id", F.octet_length("text")), parts)
+    stage = Bucketed(source, ("doc_id", F.octet_length("text")), keys)
     staged = stage.frame
-    sent = staged.groupBy("bucket").applyInArrow(_send(parts), "part long, bucket long, gram int, keys binary, counts binary")
+    sent = staged.groupBy("bucket").applyInArrow(_send(keys), "part long, bucket long, gram int, keys binary, counts binary")
     totals = sent.groupBy("part").applyInArrow(_total, "bucket long, part long, gram int, counts binary, types long, tokens long")
     totals = scratch.write(totals, "totals")
     types, total = (int(x or 0) for x in totals.filter("bucket is null and gram = 1").agg(F.sum("types"), F.sum("tokens")).first())
     back = totals.filter("bucket is not null").select("bucket", "part", "gram", "counts")
 
-    cells = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_held_out(parts, total), _CELLS)
+    cells = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_held_out(keys, total), _CELLS)
     cells = cells.groupBy("frequency", "unigram", "bigram").agg(*(F.sum(x).alias(x) for x in ("n", "p1", "p2")))
     rows = cells.orderBy("frequency", "unigram", "bigram").toPandas()  # bounded by the grid of cells
     n = rows["n"].to_numpy(float)
@@ -244,7 +246,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
         weights[:] = [1.0, 0.0, 0.0]
 
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(parts, total, types, spark.sparkContext.broadcast(weights)), schema)
+    scored = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(keys, total, types, spark.sparkContext.broadcast(weights)), schema)
     scored = scratch.write(scored, "scores")
     stage.drop()
     scratch.drop("totals")

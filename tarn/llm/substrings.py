@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, partitions, table
+from ._spark import Bucketed, Scratch, bounded_batches, even_keys, partitions, table
 from ._words import SPACED, chunks, ngram_hashes, words
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 8
@@ -103,39 +103,41 @@ def _anchor_hashes(own: Suffixes, parts: int) -> tuple[np.ndarray, np.ndarray, n
     return keys[order], counts[order], ends, place[inverse][of]
 
 
-def _send_anchors(parts: int):
+def _send_anchors(names: list[int]):
+    """To each part its anchor hashes and whether they occur twice here, and its prefixes with their counts."""
+    parts = len(names)
+
     def over(texts: pa.Table) -> pa.Table:
         own = suffixes(texts)
         keys, counts, ends, _ = _anchor_hashes(own, parts)
         cells = np.bincount((own.symbols(own.start)[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        used = np.flatnonzero(cells)
-        rows = [(p, keys[ends[p] : ends[p + 1]].tobytes(), (counts[ends[p] : ends[p + 1]] > 1).tobytes()) for p in range(parts) if ends[p + 1] > ends[p]]
-        rows.append((parts, used.astype(np.int64).tobytes(), cells[used].astype(np.int64).tobytes()))
-        part, key, many = zip(*rows, strict=True)
-        return pa.table({"part": pa.array(part, pa.int64()), "bucket": pa.array([texts.column("bucket")[0].as_py()] * len(rows), pa.int64()), "keys": pa.array(key, pa.binary()), "many": pa.array(many, pa.binary())})
+        rows = []
+        for p in range(parts):
+            own_cells = p + parts * np.flatnonzero(cells[p::parts])
+            counted = np.column_stack([own_cells, cells[own_cells]])
+            rows.append((names[p], keys[ends[p] : ends[p + 1]].tobytes(), (counts[ends[p] : ends[p + 1]] > 1).tobytes(), counted.astype(np.int64).tobytes()))
+        part, key, many, cell = zip(*rows, strict=True)
+        bucket = pa.array([texts.column("bucket")[0].as_py()] * parts, pa.int64())
+        return pa.table([pa.array(part, pa.int64()), bucket, *(pa.array(x, pa.binary()) for x in (key, many, cell))], ["part", "bucket", "keys", "many", "cells"])
 
     return over
 
 
-def _count_anchors(parts: int):
-    """For each bucket, which of its anchors occur twice or more; from the last part, the counts of prefixes."""
-
-    def over(sent: pa.Table) -> pa.Table:
-        part = sent.column("part")[0].as_py()
-        if part == parts:
-            cells = np.zeros(1 << CELL_BITS, np.int64)
-            for at, n in zip(sent.column("keys"), sent.column("many"), strict=True):
-                cells[np.frombuffer(at.as_buffer(), np.int64)] += np.frombuffer(n.as_buffer(), np.int64)
-            return pa.table({"bucket": pa.nulls(1, pa.int64()), "part": pa.array([part], pa.int64()), "back": pa.array([cells.tobytes()], pa.binary())})
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("keys")]
-        many = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in sent.column("many")])
-        _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        again = counts > 1
-        again[inverse[many]] = True
-        back = np.split(again[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"bucket": sent.column("bucket"), "part": pa.array([part] * len(keys), pa.int64()), "back": pa.array([np.packbits(x).tobytes() for x in back], pa.binary())})
-
-    return over
+def _count_anchors(sent: pa.Table) -> pa.Table:
+    """For each bucket, which of its anchors occur twice or more; and (bucket null) the counts of the part's prefixes."""
+    part, n = sent.column("part")[0].as_py(), sent.num_rows
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("keys")]
+    many = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in sent.column("many")])
+    _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    again = counts > 1
+    again[inverse[many]] = True
+    back = np.split(again[inverse], np.cumsum([len(k) for k in keys])[:-1])
+    counted = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sent.column("cells")]).reshape(-1, 2)
+    cells, of = np.unique(counted[:, 0], return_inverse=True)
+    total = np.column_stack([cells, np.bincount(of, counted[:, 1], len(cells))]).astype(np.int64)
+    blobs = [*(np.packbits(x).tobytes() for x in back), total.tobytes()]
+    buckets = pa.concat_arrays([*sent.column("bucket").chunks, pa.nulls(1, pa.int64())])
+    return pa.table({"bucket": buckets, "part": pa.array([part] * (n + 1), pa.int64()), "back": pa.array(blobs, pa.binary())})
 
 
 @dataclass(frozen=True)
@@ -181,11 +183,12 @@ class Distinct:
     ends: np.ndarray
 
 
-def _distinct(own: Suffixes, back: pa.Table, parts: int, prefixes: Prefixes) -> Distinct:
-    keys, _, ends, of = _anchor_hashes(own, parts)
+def _distinct(own: Suffixes, back: pa.Table, names: list[int], prefixes: Prefixes) -> Distinct:
+    keys, _, ends, of = _anchor_hashes(own, len(names))
+    number = {name: p for p, name in enumerate(names)}
     again = np.zeros(len(keys), bool)
-    for part, raw in zip(back.column("part").to_pylist(), back.column("back").to_pylist(), strict=True):
-        a, b = ends[part], ends[part + 1]
+    for name, raw in zip(back.column("part").to_pylist(), back.column("back").to_pylist(), strict=True):
+        a, b = ends[number[name]], ends[number[name] + 1]
         again[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(b - a)).astype(bool)
     start = own.start[again[of]]
     head, body, tail = own.symbols(start) if len(start) else (np.zeros(0, np.uint64),) * 3
@@ -205,10 +208,10 @@ def _distinct(own: Suffixes, back: pa.Table, parts: int, prefixes: Prefixes) ->
     return Distinct(start, place, h[at][by], b[at][by], t[at][by], lead[by], used, np.append(begin, len(at)))
 
 
-def _send_suffixes(parts: int, prefixes):
+def _send_suffixes(names: list[int], prefixes):
     def over(texts: pa.Table, back: pa.Table) -> pa.Table:
         own = suffixes(texts)
-        d = _distinct(own, back, parts, prefixes.value)
+        d = _distinct(own, back, names, prefixes.value)
         ids = own.ids[own.text_of(d.lead)]
         offset = d.lead - own.first[own.text_of(d.lead)]
         rows = []
@@ -254,11 +257,11 @@ def _subtrees(sent: pa.Table) -> pa.Table:
     return pa.table({"bucket": sent.column("bucket"), "part": sent.column("part"), "anchors": pa.nulls(len(back), pa.binary()), "firsts": pa.array(back, pa.binary())})
 
 
-def _remove(parts: int, prefixes, keep_text: bool):
+def _remove(names: list[int], prefixes, keep_text: bool):
     def over(texts: pa.Table, back: pa.Table) -> pa.Table:
         own = suffixes(texts)
         anchors = back.filter(pc.is_valid(back.column("anchors"))).select(["part", "anchors"]).rename_columns(["part", "back"])
-        d = _distinct(own, anchors, parts, prefixes.value)
+        d = _distinct(own, anchors, names, prefixes.value)
         first = np.ones(len(d.lead), bool)
         for group, raw in zip(back.column("part").to_pylist(), back.column("firsts").to_pylist(), strict=True):
             if raw is not None:
@@ -292,22 +295,23 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     joined by spaces) or, without ``keep_text``, kept_sha256."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch, parts = Scratch(spark, "substrings"), partitions(spark)
+    scratch, names = Scratch(spark, "substrings"), even_keys(spark, partitions(spark))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    staged = Bucketed(source, ("doc_id", F.octet_length("text")), parts)
+    staged = Bucketed(source, ("doc_id", F.octet_length("text")), names)
     texts = staged.frame.groupBy("bucket")
-    sent = texts.applyInArrow(_send_anchors(parts), "part long, bucket long, keys binary, many binary")
-    anchors = scratch.write(sent.groupBy("part").applyInArrow(_count_anchors(parts), "bucket long, part long, back binary"), "anchors")
+    sent = texts.applyInArrow(_send_anchors(names), "part long, bucket long, keys binary, many binary, cells binary")
+    anchors = scratch.write(sent.groupBy("part").applyInArrow(_count_anchors, "bucket long, part long, back binary"), "anchors")
     cells = np.zeros(1 << CELL_BITS, np.int64)
     for row in anchors.filter("bucket is null").collect():
-        cells += np.frombuffer(row["back"], np.int64)
+        counted = np.frombuffer(row["back"], np.int64).reshape(-1, 2)
+        cells[counted[:, 0]] += counted[:, 1]
     prefixes = spark.sparkContext.broadcast(Prefixes.of(cells, group_suffixes))
     back = anchors.filter("bucket is not null")
-    sent = texts.cogroup(back.groupBy("bucket")).applyInArrow(_send_suffixes(parts, prefixes), "part long, bucket long, sent binary")
+    sent = texts.cogroup(back.groupBy("bucket")).applyInArrow(_send_suffixes(names, prefixes), "part long, bucket long, sent binary")
     firsts = scratch.write(sent.groupBy("part").applyInArrow(_subtrees, "bucket long, part long, anchors binary, firsts binary"), "firsts")
     both = back.select("bucket", "part", F.col("back").alias("anchors"), F.lit(None).cast("binary").alias("firsts")).unionByName(firsts)
     last = "kept string" if keep_text else "kept_sha256 string"
-    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_remove(parts, prefixes, keep_text), f"doc_id long, n_words long, n_removed long, spans array<array<bigint>>, {last}")
+    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_remove(names, prefixes, keep_text), f"doc_id long, n_words long, n_removed long, spans array<array<bigint>>, {last}")
     out = scratch.write(out, "kept")
     staged.drop()
     scratch.drop("anchors", "firsts")
