@@ -11,9 +11,10 @@ Two refinements keep signatures few and buckets small without losing a pair:
 * A set goes through the groups of its band in their fixed order only until it has met enough *usable* groups: those
   with a frequent-free feature in two parts (every subset then has one). Of two similar sets, the one that stops first
   has met a usable group that both share a subset of, and the other has come as far.
-* Signatures of nothing but frequent features (passages that many texts share) or of nothing at all are left out,
-  unless a set has too few usable groups; such sets add them for the first groups. Any choice of frequent features
-  gives the same links; a bounded list of the most frequent ones is taken.
+* Signatures of nothing but frequent features (passages that many texts share) or of nothing at all are left out. A set with
+  too few usable groups adds those of frequent features, by the same rule with all features counted; only a set too small
+  for that adds empty ones, in the first groups. Any choice of frequent features gives the same links; a bounded list of the
+  most frequent ones is taken.
 
 Candidates first compare parity sketches: bit maps in which each feature flips one bit, so that they differ in no more
 places than the sets do. Pairs that this leaves open are verified on the sets themselves. A bucket is checked against its first member; members found
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, partitions, release, table
+from ._spark import Scratch, bounded_batches, even_keys, partitions, release, table
 from ._words import SPACED_LOWER, chunks, mix, ngram_hashes, words
 from .components import components
 
@@ -49,7 +50,7 @@ BAND = 2.37
 SMALL = 40
 PARTS = 3
 #: Frequent features: those that so many of the sets that a task gathers have are counted, and the most frequent listed.
-GATHERED, FREQUENT_THERE, FREQUENT, MOST_FREQUENT = 1 << 21, 3, 24, 1 << 17
+GATHERED, FREQUENT_THERE, FREQUENT, MOST_FREQUENT = 1 << 21, 2, 24, 1 << 17
 #: Bits of a sketch: a power of two from twice the features, within bounds.
 LEAST_BITS, MOST_BITS = 8, 16
 #: Signatures that a task gathers before it deals them out.
@@ -146,21 +147,28 @@ def _band(sets: Sets, strong: np.ndarray, own: np.ndarray, size: np.ndarray, num
     cell, feature, firm = cell[order], feature[order], strong[at][order]
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     shape = (len(own), groups, parts)
-    projection, solid = np.zeros(len(own) * groups * parts, np.uint64), np.zeros(len(own) * groups * parts, bool)
+    cells = len(own) * groups * parts
+    projection, solid, filled = np.zeros(cells, np.uint64), np.zeros(cells, bool), np.zeros(cells, bool)
     projection[cell[begin]] = np.add.reduceat(mix(feature ^ _GOLD), begin)
     solid[cell[begin]] = np.logical_or.reduceat(firm, begin)
-    projection, solid = projection.reshape(shape), solid.reshape(shape)
+    filled[cell[begin]] = True
+    projection, solid, filled = (x.reshape(shape) for x in (projection, solid, filled))
     differences = (size + np.minimum(most, 4 * size // 3)) // 7
-    if parts == 1:
-        need, usable, subsets = differences + 1, solid[:, :, 0], [(0,)]
-    else:
-        need, usable, subsets = differences // 2 + 1, solid.sum(axis=2) >= parts - 1, [(0, 1), (0, 2), (1, 2)]
-    met = np.cumsum(usable, axis=1)
-    within = met - usable < need[:, None]
-    early = (met[:, -1] < need)[:, None] & (np.arange(groups) < need[:, None])  # too few usable groups
+    need, subsets = (differences + 1, [(0,)]) if parts == 1 else (differences // 2 + 1, [(0, 1), (0, 2), (1, 2)])
+
+    def met(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups up to the one that completes the needed number of usable ones, and whether there are too few."""
+        usable = kind.sum(axis=2) >= max(1, parts - 1)
+        so_far = np.cumsum(usable, axis=1)
+        return so_far - usable < need[:, None], (so_far[:, -1] < need)[:, None]
+
+    within, few = met(solid)
+    further, fewer = met(filled)
+    further, early = further & few, few & fewer & (np.arange(groups) < need[:, None])
     sigs, texts = [], []
     for k, subset in enumerate(subsets):
-        wanted = (within & np.logical_or.reduce([solid[:, :, p] for p in subset])) | early
+        any_of = lambda kind, subset=subset: np.logical_or.reduce([kind[:, :, p] for p in subset])
+        wanted = (within & any_of(solid)) | (further & any_of(filled)) | early
         row, group = np.nonzero(wanted)
         sig = np.full(len(row), np.uint64(number * 4 + k))
         for p in subset:
@@ -235,13 +243,13 @@ def _describe(shingle: int):
     return over
 
 
-def _deal(shingle: int, common, parts: int):
+def _deal(shingle: int, common, names: list[int]):
     """Signatures with handles, as one binary a part: 48 bits of the signature and 16 of the handle's place, then the handles."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sig = np.concatenate([s for s, _ in held])
         handles, place = np.unique(np.concatenate([h for _, h in held]), return_inverse=True)
-        part = (sig % np.uint64(parts)).astype(np.int64)
+        part = (sig % np.uint64(len(names))).astype(np.int64)
         key = (mix(sig) & ~np.uint64(0xFFFF)) | place.astype(np.uint64)
         order = np.argsort(part, kind="stable")
         key, part = key[order], part[order]
@@ -251,7 +259,7 @@ def _deal(shingle: int, common, parts: int):
             used, own = np.unique((key[b:e] & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
             body = (key[b:e] & ~np.uint64(0xFFFF)) | own.astype(np.uint64)
             blobs.append(np.uint64(len(used)).tobytes() + handles[used].tobytes() + body.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary())], ["part", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[part[begin]]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -365,6 +373,25 @@ def _maybe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _pairs_apart(bucket: pa.Table) -> pa.Table:
+    """The pairs of a bucket in different components that sizes and sketches do not rule out."""
+    node, root, n = (bucket.column(k).to_numpy() for k in ("node", "root", "n"))
+    order = np.argsort(n, kind="stable")
+    node, root, n = node[order], root[order], n[order]
+    raw = bucket.column("sketch").take(pa.array(order)).to_pylist()
+    width = min(map(len, raw)) // 8
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in raw])
+    found: list[tuple[int, int]] = []
+    for i in range(len(node)):  # sizes rise: those that can be linked follow at once
+        end = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
+        near = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+        if len(near):
+            near = near[np.bitwise_count(folded[near] ^ folded[i]).sum(axis=1, dtype=np.int64) <= (n[near] + n[i]) // 7]
+            found += [(node[i], node[j]) for j in near.tolist() if least_difference(raw[i], raw[j]) <= (n[i] + n[j]) // 7]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
 def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out."""
     one = classes.select(F.col("handle").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
@@ -395,7 +422,7 @@ def _stars(source: DataFrame, described: DataFrame, shingle: int, scratch: Scrat
     frequent = described.filter("feature is not null").groupBy("feature").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT)
     listed = frequent.orderBy(F.desc("sets"), "feature").limit(MOST_FREQUENT).select("feature").toPandas()
     common = spark.sparkContext.broadcast(np.sort(listed["feature"].to_numpy(np.int64).view(np.uint64)))
-    dealt = source.mapInArrow(_deal(shingle, common, partitions(spark)), "part long, blob binary")
+    dealt = source.mapInArrow(_deal(shingle, common, even_keys(spark, partitions(spark))), "part long, blob binary")
     return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, leader long, member long"), "stars")
 
 
@@ -420,17 +447,15 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int
     rest = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
     rest = stars.join(rest, "bucket", "left_semi")
     nodes = rest.select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
-    nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n"), "node")
-    nodes = scratch.write(nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n"), "nodes")
-    other = nodes.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    pairs = nodes.join(other, "bucket").filter(f"node < b and root <> root_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)")
-    pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(one.unionAll(again), ["a", "b"], "left_anti")
-    pairs = scratch.write(_open_pairs(pairs, classes), "pairs-3")
+    nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n", "sketch"), "node")
+    nodes = nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n", "sketch")
+    pairs = nodes.groupBy("bucket").applyInArrow(_pairs_apart, "a long, b long").distinct()
+    pairs = scratch.write(pairs.join(one.unionAll(again), ["a", "b"], "left_anti"), "pairs-3")
     if not pairs.isEmpty():
         sets = scratch.write(_fetched(source, pairs, shingle), "sets-2")
         last = scratch.write(_checked(pairs, sets), "links-3")
         root = scratch.write(components(links.unionAll(last), scratch, "cc-3"), "roots-3")
-    scratch.drop("open-1", "sets-1", "sets-2", "nodes")
+    scratch.drop("open-1", "sets-1", "sets-2")
     return root
 
 
