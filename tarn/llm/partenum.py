@@ -373,23 +373,41 @@ def _maybe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _pairs_apart(bucket: pa.Table) -> pa.Table:
-    """The pairs of a bucket in different components that sizes and sketches do not rule out."""
-    node, root, n = (bucket.column(k).to_numpy() for k in ("node", "root", "n"))
-    order = np.argsort(n, kind="stable")
-    node, root, n = node[order], root[order], n[order]
-    raw = bucket.column("sketch").take(pa.array(order)).to_pylist()
-    width = min(map(len, raw)) // 8
-    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in raw])
-    found: list[tuple[int, int]] = []
-    for i in range(len(node)):  # sizes rise: those that can be linked follow at once
-        end = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
-        near = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
-        if len(near):
-            near = near[np.bitwise_count(folded[near] ^ folded[i]).sum(axis=1, dtype=np.int64) <= (n[near] + n[i]) // 7]
-            found += [(node[i], node[j]) for j in near.tolist() if least_difference(raw[i], raw[j]) <= (n[i] + n[j]) // 7]
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _pairs_apart(nearest: bool):
+    """The pairs of a bucket in different components that sizes and sketches do not rule out; with ``nearest`` only that of
+    each member with the one whose sketch differs least."""
+
+    def over(bucket: pa.Table) -> pa.Table:
+        node, root, n = (bucket.column(k).to_numpy() for k in ("node", "root", "n"))
+        order = np.argsort(n, kind="stable")
+        node, root, n = node[order], root[order], n[order]
+        raw = bucket.column("sketch").take(pa.array(order)).to_pylist()
+        width = min(map(len, raw)) // 8
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in raw])
+        least, other = np.full(len(node), 1 << 40), np.zeros(len(node), np.int64)
+        found: list[tuple[int, int]] = []
+        for i in range(len(node)):  # sizes rise: those that can be linked follow at once
+            end = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
+            near = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+            if not len(near):
+                continue
+            apart = np.bitwise_count(folded[near] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            can = apart <= (n[near] + n[i]) // 7
+            near, apart = near[can], apart[can]
+            if not nearest:
+                found += [(i, j) for j in near.tolist()]
+            elif len(near):
+                if apart.min() < least[i]:
+                    least[i], other[i] = apart.min(), near[apart.argmin()]
+                closer = near[apart < least[near]]
+                least[closer], other[closer] = apart[apart < least[near]], i
+        if nearest:
+            found = [(i, int(other[i])) for i in np.flatnonzero(least < 1 << 40).tolist()]
+        found = [(node[i], node[j]) for i, j in found if least_difference(raw[i], raw[j]) <= (n[i] + n[j]) // 7]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return over
 
 
 def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -443,19 +461,25 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int
     links = links.unionAll(more)
     root = scratch.write(components(links, scratch, "cc-2"), "roots-2")
     release(spark)
-    # then all pairs across components in the buckets that still have several
-    rest = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
-    rest = stars.join(rest, "bucket", "left_semi")
-    nodes = rest.select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
-    nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n", "sketch"), "node")
-    nodes = nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n", "sketch")
-    pairs = nodes.groupBy("bucket").applyInArrow(_pairs_apart, "a long, b long").distinct()
-    pairs = scratch.write(pairs.join(one.unionAll(again), ["a", "b"], "left_anti"), "pairs-3")
-    if not pairs.isEmpty():
-        sets = scratch.write(_fetched(source, pairs, shingle), "sets-2")
-        last = scratch.write(_checked(pairs, sets), "links-3")
-        root = scratch.write(components(links.unionAll(last), scratch, "cc-3"), "roots-3")
-    scratch.drop("open-1", "sets-1", "sets-2")
+    # then pairs across components in the buckets that still have several: the nearest of each member, which joins
+    # nearly all that can be joined, and at last all that are left
+    tested = one.unionAll(again)
+    for turn, nearest in enumerate((True, True, False), 3):
+        rest = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
+        nodes = stars.join(rest, "bucket", "left_semi").select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
+        nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n", "sketch"), "node")
+        nodes = nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n", "sketch")
+        pairs = nodes.groupBy("bucket").applyInArrow(_pairs_apart(nearest), "a long, b long").distinct()
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        if pairs.isEmpty():
+            continue
+        sets = scratch.write(_fetched(source, pairs, shingle), f"sets-{turn}")
+        links = links.unionAll(scratch.write(_checked(pairs, sets), f"links-{turn}"))
+        root = scratch.write(components(links, scratch, f"cc-{turn}"), f"roots-{turn}")
+        tested = tested.unionAll(pairs)
+        scratch.drop(f"sets-{turn}")
+        release(spark)
+    scratch.drop("open-1", "sets-1")
     return root
 
 
