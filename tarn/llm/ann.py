@@ -102,12 +102,13 @@ def candidates(index: list[np.ndarray], visited: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k largest inner products, ties to the smaller id. Sums have one order: equal vectors tie exactly."""
-    score = (vectors * query).sum(axis=1)
-    if len(score) > k:
-        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-        ids, score = ids[some], score[some]
+def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k largest inner products, ties to the smaller id. ``rough`` holds them as a matrix product gives
+    them (-inf: no candidate); all that may be among the k are summed again in one order, so that equal vectors tie exactly."""
+    least = -np.inf if len(rough) <= k else np.partition(rough, len(rough) - k)[len(rough) - k]
+    slack = 1e-9 * (np.abs(rough[np.isfinite(rough)]).max(initial=0) + np.linalg.norm(query))
+    some = np.flatnonzero((rough >= least - slack) & np.isfinite(rough))
+    ids, score = ids[some], (vectors[some] * query).sum(axis=1)
     order = np.lexsort((ids, -score))[:k]
     return ids[order], score[order]
 
@@ -145,10 +146,10 @@ def _search(hashes, k: int, length: int):
             for begin in range(0, len(q), 256):
                 part = q[begin : begin + 256]
                 met = candidates(index, hashes.value.visit(part))
+                rough = np.where(met, part @ x.T, -np.inf)
                 for i, own in enumerate(q_ids[begin : begin + 256].tolist()):
-                    some = np.flatnonzero(met[i] & (ids != own))
-                    found, score = nearest(part[i], ids[some], x[some], k)
-                    rows.append((own, found, score))
+                    rough[i, ids == own] = -np.inf
+                    rows.append((own, *nearest(part[i], ids, x, rough[i], k)))
         sizes = [len(r[1]) for r in rows]
         join = lambda n, kind: np.concatenate([np.zeros(0, kind), *(r[n] for r in rows)])
         return pa.table({"query_id": pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)), "vec_id": pa.array(join(1, np.int64)), "score": pa.array(join(2, np.float64))})
