@@ -263,28 +263,54 @@ def _pass(matcher, drop_text: bool):
     return over
 
 
-def remove(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns, without hit spans; those with more than ``max_coverage`` of their words hit go.
 
-    Bytes from a span's first word to its last are cut; text without a hit stays unchanged, byte for byte.
+    Spans of all blocks are found in the text as it came in and cut once, by the last pass. Bytes from a span's first
+    word to its last are cut; text without a hit stays unchanged, byte for byte.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    at, schema = docs.columns.index(text), docs.schema
-    out = docs
-    for matcher in list(map(spark.sparkContext.broadcast, _blocks(items, item_id, item_text, window, BLOCK_WORDS))):
-        out = out.mapInArrow(_cut(matcher, at, max_coverage), schema)
-    return out
+    at, schema, held = docs.columns.index(text), docs.schema, "spans"
+    while held.lower() in map(str.lower, docs.columns):
+        held += "_"
+    matchers = list(map(spark.sparkContext.broadcast, _blocks(items, item_id, item_text, window, block_words)))
+    if not matchers:
+        return docs
+    out, with_spans = docs.withColumn(held, F.lit(None).cast(_FOUND["spans"].dataType)), T.StructType([*schema.fields, T.StructField(held, _FOUND["spans"].dataType)])
+    for matcher in matchers[:-1]:
+        out = out.mapInArrow(_mark(matcher, at), with_spans)
+    return out.mapInArrow(_cut(matchers[-1], at, max_coverage), schema)
+
+
+def _merged(matcher, batch: pa.RecordBatch, at: int) -> tuple[Words, np.ndarray]:
+    """The words of a batch's texts, and a mask of those hit by this matcher or in the spans of the last column."""
+    found = words(batch.column(at), ALNUM_LOWER)
+    mask, _ = matcher.value.hits(found)
+    for i, earlier in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+        for b, e in earlier or ():
+            mask[found.first[i] + b : found.first[i] + e] = True
+    return found, mask
+
+
+def _mark(matcher, at: int):
+    def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for batch in chunks(whole, whole.schema.names[at]):
+                found, mask = _merged(matcher, batch, at)
+                spans = [_spans(mask[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int64())))], batch.schema.names)
+
+    return over
 
 
 def _cut(matcher, at: int, max_coverage: float):
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for batch in chunks(whole, whole.schema.names[at]):
-                found = words(batch.column(at), ALNUM_LOWER)
-                mask, items = matcher.value.hits(found)
+                found, mask = _merged(matcher, batch, at)
                 texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-                for i in (i for i, x in enumerate(items) if x):
+                for i in np.unique(np.searchsorted(found.first, np.flatnonzero(mask), side="right") - 1).tolist():
                     a, b = found.first[i], found.first[i + 1]
                     keep[i] = mask[a:b].mean() <= max_coverage
                     raw, done, parts = texts[i].encode(), 0, []
@@ -293,8 +319,8 @@ def _cut(matcher, at: int, max_coverage: float):
                         parts.append(raw[done : found.start[a + s] - base])
                         done = int(found.end[a + e - 1]) - base
                     texts[i] = b"".join([*parts, raw[done:]]).decode()
-                columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+                columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
 
     return over
 

@@ -77,6 +77,29 @@ def test_remove_cuts_spans_and_drops_covered_texts(spark):
     assert d.remove(docs, items).schema == docs.schema
 
 
+def test_remove_judges_and_cuts_the_union_of_all_blocks(spark):
+    w = [f"w{k}" for k in range(40)]
+    text = " ".join(w)
+    item = lambda b, e: " ".join(w[b:e])
+    cases = [
+        # 30 % in each of two blocks: 60 % covered
+        ([item(0, 12), item(20, 32)], None),
+        # an overlap of two blocks' items: both are cut whole
+        ([item(0, 12), item(5, 15)], " " + " ".join(w[15:])),
+        # words that only come together over a cut are no hit
+        ([item(10, 20), item(5, 10) + " " + item(20, 25)], " ".join(w[:10]) + "  " + " ".join(w[20:])),
+    ]
+    docs = spark.createDataFrame([(1, text, "clash"), (2, None, "x"), (3, "é", "x")], "doc_id long, text string, Spans string")
+    for bodies, want in cases:
+        items = spark.createDataFrame(list(enumerate(bodies)), "item_id int, text string").coalesce(1)
+        for block in (10, d.BLOCK_WORDS):
+            out = d.remove(docs, items, block_words=block)
+            assert out.schema == docs.schema
+            kept = {r.doc_id: (r.text, r.Spans) for r in out.collect()}
+            assert kept.pop(2) == (None, "x") and kept.pop(3) == ("é", "x")
+            assert kept == ({} if want is None else {1: (want, "clash")})
+
+
 def test_no_items_and_no_docs(spark):
     docs, items = frames(spark)
     assert d.find(docs, items.limit(0)).filter("size(spans) > 0 or size(items) > 0").count() == 0
