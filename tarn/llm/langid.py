@@ -37,9 +37,13 @@ ORDER = 4
 TEXTS_A_LANGUAGE, BYTES_A_TEXT = 300, 10_000
 #: Every so-manieth training text calibrates the rejection instead of being counted.
 CALIBRATE_EVERY = 5
-#: Letters that have a symbol of their own; the others share one. Six bits a symbol.
-LETTERS, BITS = 62, 6
-_BOUNDARY, _OTHER = 0, 63
+#: Every letter of the training texts has a symbol of its own. A symbol takes at least so many bits, more where there are
+#: more letters: up to 16 for the four symbols of a 64-bit key. (Models of over 65,534 letters have three symbols a key.)
+BITS = 6
+#: The symbol of runs of other code points, and (at the least width) that of letters of no training text.
+_BOUNDARY, _OTHER = 0, (1 << BITS) - 1
+#: Up to this many bits a key is an address, beyond it is searched for.
+ADDRESS_BITS = 24
 #: Standard deviations (of the calibration texts) from their mean beyond which a text is rejected.
 REJECT_SIGMA = 12.0
 
@@ -78,7 +82,7 @@ def symbols(points: np.ndarray, offsets: np.ndarray, table_: np.ndarray) -> tupl
     n = len(offsets) - 1
     # a boundary is put before each text (and one at the end), then runs of boundaries become one
     at = offsets + np.arange(n + 1)
-    out = np.zeros(len(points) + n + 1, np.uint8)
+    out = np.zeros(len(points) + n + 1, table_.dtype)
     inside = np.ones(len(out), bool)
     inside[at] = False
     out[inside] = table_[points]
@@ -89,11 +93,17 @@ def symbols(points: np.ndarray, offsets: np.ndarray, table_: np.ndarray) -> tupl
     return out[keep][: first[-1]], first
 
 
-def packed(syms: np.ndarray, n: int) -> np.ndarray:
+def shape(letters: np.ndarray) -> tuple[int, int]:
+    """Bits of a symbol and symbols of an n-gram."""
+    bits = max(BITS, (len(letters) + 1).bit_length())
+    return bits, min(ORDER, 64 // bits)
+
+
+def packed(syms: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The n-gram that ends at each symbol, as one integer; the first n - 1 reach before the array and hold boundaries."""
-    out = np.zeros(len(syms), np.int64)
+    out = np.zeros(len(syms), np.int64 if bits * n < 64 else np.uint64)
     for k in range(n):
-        out[k:] |= syms[: len(syms) - k].astype(np.int64) << (BITS * k)
+        out[k:] |= syms[: len(syms) - k].astype(out.dtype) << (bits * k)
     return out
 
 
@@ -113,8 +123,8 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Symbol of each code point."""
-        fold = folded()
-        out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+        fold, other = folded(), (1 << shape(self.letters)[0]) - 1
+        out = np.full(sys.maxunicode + 1, other, np.min_scalar_type(other))
         out[fold == 0] = _BOUNDARY
         if len(self.letters):
             at = np.minimum(np.searchsorted(self.letters, fold), len(self.letters) - 1)
@@ -124,46 +134,78 @@ class Model:
 
 
 class Lookup:
-    """A model's sorted arrays with direct addresses: the row of an n-gram in constant time."""
+    """A model's sorted arrays: the row of an n-gram, by direct addresses (constant time) while keys are short."""
 
     def __init__(self, model: Model) -> None:
-        bits = BITS * ORDER
+        self.bits, self.n = shape(model.letters)
         self.table = model.table()
-        self.rows = np.zeros(1 << bits, np.int32)
-        base, order = 0, []
+        self.order = np.concatenate([np.full(len(keys), n, np.int8) for n, keys in enumerate(model.keys, 1)])
+        self.logp = np.concatenate(model.logp).astype(np.float32)
+        self.backoff = [np.concatenate([np.zeros((1, weight.shape[1])), weight]).astype(np.float32) for weight in model.backoff]
+        self.keys, self.contexts = model.keys, model.contexts
+        self.addressed = self.bits * self.n <= ADDRESS_BITS
+        if not self.addressed:
+            return
+        self.rows = np.zeros(1 << (self.bits * self.n), np.int32)
+        base, self.context = 0, []
         for n, keys in enumerate(model.keys, 1):  # a longer n-gram replaces its ending's row
-            self.rows.reshape(-1, 1 << (BITS * n))[:, keys] = base + np.arange(len(keys), dtype=np.int32)
+            self.rows.reshape(-1, 1 << (self.bits * n))[:, keys] = base + np.arange(len(keys), dtype=np.int32)
             base += len(keys)
-            order.append(np.full(len(keys), n, np.int8))
-        self.order = np.concatenate(order)
-        self.logp = np.concatenate(model.logp).astype(np.float32)
-        self.context, self.backoff = [], []
-        for n, (contexts, weight) in enumerate(zip(model.contexts, model.backoff, strict=True)):
-            at = np.zeros(1 << (BITS * n), np.int32)
+        for n, contexts in enumerate(model.contexts):
+            at = np.zeros(1 << (self.bits * n), np.int32)
             at[contexts] = np.arange(1, len(contexts) + 1)
             self.context.append(at)
-            self.backoff.append(np.concatenate([np.zeros((1, weight.shape[1])), weight]).astype(np.float32))
+
+    def _row(self, full: np.ndarray) -> np.ndarray:
+        """The row of the longest seen ending."""
+        if self.addressed:
+            return self.rows[full]
+        out, base = np.zeros(len(full), np.int64), 0
+        for n, keys in enumerate(self.keys, 1):
+            at, seen = _find(keys, full & ((1 << (self.bits * n)) - 1))
+            out[seen] = base + at[seen]
+            base += len(keys)
+        return out
+
+    def _context(self, n: int, context: np.ndarray) -> np.ndarray:
+        """The row of the weight after a context of n symbols, 0 if none has seen it."""
+        if self.addressed:
+            return self.context[n][context]
+        at, seen = _find(self.contexts[n], context)
+        return np.where(seen, at + 1, 0)
 
     def log_probabilities(self, full: np.ndarray) -> np.ndarray:
-        row = self.rows[full]
+        if self.addressed:
+            return self._log_probabilities(full)
+        each, of = np.unique(full, return_inverse=True)
+        return self._log_probabilities(each)[of]
+
+    def _log_probabilities(self, full: np.ndarray) -> np.ndarray:
+        row = self._row(full)
         out = self.logp[row]
         order = self.order[row]
-        for n in range(2, ORDER + 1):  # orders at which the n-gram is unseen give the weight of the lower one
+        for n in range(2, self.n + 1):  # orders at which the n-gram is unseen give the weight of the lower one
             unseen = np.flatnonzero(order < n)
             if len(unseen):
-                context = (full[unseen] & ((1 << (BITS * n)) - 1)) >> BITS
-                out[unseen] += self.backoff[n - 1][self.context[n - 1][context]]
+                context = (full[unseen] & ((1 << (self.bits * n)) - 1)) >> self.bits
+                out[unseen] += self.backoff[n - 1][self._context(n - 1, context)]
         return out
 
 
-def _kneser_ney(grams: list[tuple[np.ndarray, np.ndarray]], n_symbols: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and which of the wanted are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _kneser_ney(grams: list[tuple[np.ndarray, np.ndarray]], n_symbols: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """From the counts of the highest order (keys, counts): for each order n = 1.. the seen n-grams and their interpolated
     probabilities, and what an unseen one gets (the interpolated lower order) is left to the caller's lookup by ending."""
     order = len(grams)
     counts: list[tuple[np.ndarray, np.ndarray]] = [None] * (order + 1)
     counts[order] = grams[-1]
     for n in range(order - 1, 0, -1):  # continuation counts: distinct symbols before
-        endings = counts[n + 1][0] & ((1 << (BITS * n)) - 1)
+        endings = counts[n + 1][0] & ((1 << (bits * n)) - 1)
         counts[n] = np.unique(endings, return_counts=True)
     out, lower_keys, lower_p = [], None, None
     for n in range(1, order + 1):
@@ -172,14 +214,14 @@ def _kneser_ney(grams: list[tuple[np.ndarray, np.ndarray]], n_symbols: int) -> l
         n1, n2 = (c == 1).sum(), (c == 2).sum()
         d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = min(max(d, 0.05), 0.95)
-        context = keys >> BITS
+        context = keys >> bits
         contexts, of = np.unique(context, return_inverse=True)
         total, types = np.bincount(of, c), np.bincount(of)
         gamma = d * types / total
         if n == 1:
             lower = np.full(len(keys), 1.0 / n_symbols)
         else:
-            lower = lower_p[np.searchsorted(lower_keys, keys & ((1 << (BITS * (n - 1))) - 1))]
+            lower = lower_p[np.searchsorted(lower_keys, keys & ((1 << (bits * (n - 1))) - 1))]
         p = np.maximum(c - d, 0) / total[of] + gamma[of] * lower
         out.append((keys, p, contexts, gamma))
         lower_keys, lower_p = keys, p
@@ -194,16 +236,16 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     column = pa.array(texts, pa.string())
     points, offsets = code_points(column)
     low = folded()[points]
-    seen, freq = np.unique(low[low > 0], return_counts=True)
-    letters = np.sort(seen[np.argsort(-freq, kind="stable")[:LETTERS]])
+    letters = np.unique(low[low > 0])
+    bits, order = shape(letters)
     blank = Model(languages, letters, [], [], [], [], np.zeros(0), np.zeros(0))
     syms, first = symbols(points, offsets, blank.table())
     n_symbols = len(letters) + 2
-    full = packed(syms, ORDER)
+    full = packed(syms, order, bits)
     # contexts do not reach into the text before
     place = np.arange(len(syms)) - np.repeat(first[:-1], np.diff(first))
-    for k in range(1, ORDER):
-        full[place == k - 1] &= (1 << (BITS * k)) - 1
+    for k in range(1, order):
+        full[place == k - 1] &= (1 << (bits * k)) - 1
     text_of = np.repeat(np.arange(len(texts)), np.diff(first))
     lang = np.array([languages.index(x) for x in langs])
     nth = np.zeros(len(texts), np.int64)
@@ -216,24 +258,24 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     for k in range(len(languages)):
         grams = np.unique(full[body & (lang[text_of] == k) & counted[text_of]], return_counts=True)
         if not len(grams[0]):
-            grams = (np.zeros(1, np.int64), np.ones(1, np.int64))
-        fitted.append(_kneser_ney([None] * (ORDER - 1) + [grams], n_symbols))
+            grams = (np.zeros(1, full.dtype), np.ones(1, np.int64))
+        fitted.append(_kneser_ney([None] * (order - 1) + [grams], n_symbols, bits))
     # one array of keys for all languages; what a language has not seen backs off
     keys, probs, held, weights = [], [], [], []
-    for n in range(ORDER):
+    for n in range(order):
         held.append(np.unique(np.concatenate([f[n][2] for f in fitted])))
         weight = np.ones((len(held[n]), len(languages)))
         for k, f in enumerate(fitted):
             weight[np.searchsorted(held[n], f[n][2]), k] = f[n][3]
         weights.append(weight)
         if n == 0:  # every symbol has a row, so each n-gram has a seen ending
-            every = np.arange(1 << BITS)
+            every = np.arange(1 << bits).astype(full.dtype)
             p = np.full((len(every), len(languages)), 1.0 / n_symbols)
         else:
             every = np.unique(np.concatenate([f[n][0] for f in fitted]))
-            p = probs[n - 1][np.searchsorted(keys[n - 1], every & ((1 << (BITS * n)) - 1))].copy()
-        at = np.minimum(np.searchsorted(held[n], every >> BITS), len(held[n]) - 1)
-        p *= np.where((held[n][at] == every >> BITS)[:, None], weight[at], 1.0)
+            p = probs[n - 1][np.searchsorted(keys[n - 1], every & ((1 << (bits * n)) - 1))].copy()
+        at, seen = _find(held[n], every >> bits)
+        p *= np.where(seen[:, None], weight[at], 1.0)
         for k, f in enumerate(fitted):
             p[np.searchsorted(every, f[n][0]), k] = f[n][1]
         keys.append(every)
@@ -256,10 +298,10 @@ def score_texts(column: pa.Array, lookup: Lookup) -> tuple[np.ndarray, np.ndarra
     points, offsets = code_points(column)
     syms, first = symbols(points, offsets, lookup.table)
     starts, length = first[:-1], np.diff(first)
-    full = packed(syms, ORDER)
-    for k in range(1, ORDER):  # contexts do not reach into the text before
+    full = packed(syms, lookup.n, lookup.bits)
+    for k in range(1, lookup.n):  # contexts do not reach into the text before
         at = (starts + k - 1)[length >= k]
-        full[at] &= (1 << (BITS * k)) - 1
+        full[at] &= (1 << (lookup.bits * k)) - 1
     value = lookup.log_probabilities(full)
     value[starts[length > 0]] = 0  # a text's first boundary is given
     total = np.diff(np.concatenate([np.zeros((1, value.shape[1])), np.cumsum(value, axis=0, dtype=np.float64)])[first], axis=0)

@@ -54,3 +54,45 @@ def test_held_out_accuracy(spark):
     rows = langid.op7_language(spark, sf).join(docs, "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) > 0.98 * len(rows) > 100
     assert sum(r.rejected for r in rows) < 0.01 * len(rows)
+
+
+def drawn(first, last, seed, n=40):
+    """Texts of words from a range of code points, the common ones often."""
+    rng = np.random.default_rng(seed)
+    pick = lambda: chr(first + int((last - first) * rng.random() ** 3))
+    return [" ".join("".join(pick() for _ in range(4)) for _ in range(30)) for _ in range(n)]
+
+
+def test_every_letter_of_large_alphabets_has_its_symbol():
+    # two halves of the same 8000 letters by turns, Hangul, and letters with accents beside Cyrillic
+    kinds = {"even": 0, "odd": 1}
+    texts = {k: ["".join(chr(0x4E00 + 2 * (ord(c) - 0x4E00) + turn) if c != " " else c for c in t) for t in drawn(0x4E00, 0x4E00 + 4000, turn)] for k, turn in kinds.items()}
+    texts |= {"ko": drawn(0xAC00, 0xAC00 + 2000, 3), "lat": drawn(0xE0, 0xF6, 4), "cyr": drawn(0x430, 0x450, 5)}
+    learnt = [(t, k) for k, ts in texts.items() for t in ts[:30]]
+    model = langid.fit(*map(list, zip(*learnt, strict=True)))
+    assert set(model.letters) == {ord(c) for t, _ in learnt for c in t if c != " "} and len(model.letters) > 2000
+    lookup = langid.Lookup(model)
+    assert not lookup.addressed
+    for k, ts in texts.items():
+        entropy, _ = langid.score_texts(pa.array(ts[30:], pa.string()), lookup)
+        assert [model.languages[j] for j in entropy.argmin(axis=1)] == [k] * 10
+    # an unknown script is unlike each of them, also where most letters are met once
+    for k, (name, ts) in enumerate(sorted(texts.items())):
+        own, _ = langid.score_texts(pa.array(ts[30:], pa.string()), lookup)
+        entropy, _ = langid.score_texts(pa.array(drawn(0xE01, 0xE2F, 6), pa.string()), lookup)
+        assert entropy[:, k].min() > own[:, k].max()
+
+
+def test_wide_keys_give_the_same_scores(monkeypatch):
+    model = langid.fit(EN + DE, ["en"] * len(EN) + ["de"] * len(DE))
+    column = pa.array([*EN, *DE, "ξένο κείμενο", ""], pa.string())
+    want, _ = langid.score_texts(column, langid.Lookup(model))
+    monkeypatch.setattr(langid, "ADDRESS_BITS", 0)
+    assert np.allclose(langid.score_texts(column, langid.Lookup(model))[0], want)
+    for bits in (12, 16, 21):
+        monkeypatch.setattr(langid, "BITS", bits)
+        wide = langid.fit(EN + DE, ["en"] * len(EN) + ["de"] * len(DE))
+        lookup = langid.Lookup(wide)
+        assert (lookup.bits, lookup.n) == (bits, 4 if bits <= 16 else 3)
+        if lookup.n == 4:
+            assert np.allclose(langid.score_texts(column, lookup)[0], want, atol=1e-4)
