@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches, table
+from ._spark import Scratch, bounded_batches, table
 from ._words import bytes_of, chunks
 
 UNKNOWN = "und"
 #: Symbols of an n-gram.
 ORDER = 4
-#: The classifier is fitted on at most this many texts of each language, those with the least hash of the id among
-#: the texts of at most so many bytes.
+#: The classifier is fitted on at most this many texts of each language, those with the least hash of the id; texts of
+#: more bytes than this are taken, whole, only where a language has too few others.
 TEXTS_A_LANGUAGE, BYTES_A_TEXT = 300, 10_000
 #: Every so-manieth training text calibrates the rejection instead of being counted.
 CALIBRATE_EVERY = 5
@@ -234,32 +234,56 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     if not texts:
         return Model([], np.zeros(0, np.uint32), [], [], [], [], np.zeros(0), np.ones(0))
     column = pa.array(texts, pa.string())
-    points, offsets = code_points(column)
+    lang = np.array([languages.index(x) for x in langs])
+    nth = np.zeros(len(texts), np.int64)
+    for k in range(len(languages)):
+        mine = np.flatnonzero(lang == k)
+        nth[mine] = np.arange(len(mine))
+    counted = counts(nth)
+    blank = _blank(languages, letters_of(column))
+    full, text_of = ngrams(column, blank)
+    model = _smoothed(blank, [np.unique(full[(lang[text_of] == k) & counted[text_of]], return_counts=True) for k in range(len(languages))])
+    entropy, n = score_texts(column, Lookup(model))
+    return _calibrated(model, lang, counted, entropy[np.arange(len(lang)), lang], n)
+
+
+def counts(nth: np.ndarray) -> np.ndarray:
+    """Which texts are counted, by their place within their language; the others calibrate."""
+    return nth % CALIBRATE_EVERY != CALIBRATE_EVERY - 1
+
+
+def letters_of(column: pa.Array) -> np.ndarray:
+    points, _ = code_points(column)
     low = folded()[points]
-    letters = np.unique(low[low > 0])
-    bits, order = shape(letters)
-    blank = Model(languages, letters, [], [], [], [], np.zeros(0), np.zeros(0))
-    syms, first = symbols(points, offsets, blank.table())
-    n_symbols = len(letters) + 2
+    return np.unique(low[low > 0])
+
+
+def _blank(languages: list[str], letters: np.ndarray) -> Model:
+    return Model(languages, letters, [], [], [], [], np.zeros(len(languages)), np.ones(len(languages)))
+
+
+def ngrams(column: pa.Array, blank: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol but a text's first boundary, and the text it is in."""
+    bits, order = shape(blank.letters)
+    syms, first = symbols(*code_points(column), blank.table())
     full = packed(syms, order, bits)
     # contexts do not reach into the text before
     place = np.arange(len(syms)) - np.repeat(first[:-1], np.diff(first))
     for k in range(1, order):
         full[place == k - 1] &= (1 << (bits * k)) - 1
-    text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    lang = np.array([languages.index(x) for x in langs])
-    nth = np.zeros(len(texts), np.int64)
-    for k in range(len(languages)):
-        mine = np.flatnonzero(lang == k)
-        nth[mine] = np.arange(len(mine))
-    counted = nth % CALIBRATE_EVERY != CALIBRATE_EVERY - 1
-    body = place > 0
+    return full[place > 0], np.repeat(np.arange(len(column)), np.diff(first))[place > 0]
+
+
+def _smoothed(blank: Model, grams: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of the languages' n-grams (sorted) and their counts."""
+    languages, letters = blank.languages, blank.letters
+    bits, order = shape(letters)
+    n_symbols, key = len(letters) + 2, packed(np.zeros(0, np.uint8), order, bits).dtype
     fitted = []
-    for k in range(len(languages)):
-        grams = np.unique(full[body & (lang[text_of] == k) & counted[text_of]], return_counts=True)
-        if not len(grams[0]):
-            grams = (np.zeros(1, full.dtype), np.ones(1, np.int64))
-        fitted.append(_kneser_ney([None] * (order - 1) + [grams], n_symbols, bits))
+    for seen in grams:
+        if not len(seen[0]):
+            seen = (np.zeros(1, key), np.ones(1, np.int64))
+        fitted.append(_kneser_ney([None] * (order - 1) + [seen], n_symbols, bits))
     # one array of keys for all languages; what a language has not seen backs off
     keys, probs, held, weights = [], [], [], []
     for n in range(order):
@@ -269,7 +293,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             weight[np.searchsorted(held[n], f[n][2]), k] = f[n][3]
         weights.append(weight)
         if n == 0:  # every symbol has a row, so each n-gram has a seen ending
-            every = np.arange(1 << bits).astype(full.dtype)
+            every = np.arange(1 << bits).astype(key)
             p = np.full((len(every), len(languages)), 1.0 / n_symbols)
         else:
             every = np.unique(np.concatenate([f[n][0] for f in fitted]))
@@ -281,15 +305,18 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         keys.append(every)
         probs.append(p)
     log = lambda x: [np.log(np.maximum(y, 1e-12)) for y in x]
-    model = Model(languages, letters, keys, log(probs), held, log(weights), np.zeros(len(languages)), np.ones(len(languages)))
-    entropy, n = score_texts(column, Lookup(model))
-    mean, sigma = np.zeros(len(languages)), np.ones(len(languages))
-    for k in range(len(languages)):
+    return Model(languages, letters, keys, log(probs), held, log(weights), np.zeros(len(languages)), np.ones(len(languages)))
+
+
+def _calibrated(model: Model, lang: np.ndarray, counted: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> Model:
+    """With limits from the texts' languages (by number), whether they were counted, cross-entropies and letters."""
+    mean, sigma = model.mean.copy(), model.sigma.copy()
+    for k in range(len(model.languages)):
         own = (lang == k) & ~counted & (n >= 20)
         if not own.any():
             own = (lang == k) & (n > 0)
         if own.any():
-            mean[k], sigma[k] = entropy[own, k].mean(), max(entropy[own, k].std(), 0.05)
+            mean[k], sigma[k] = entropy[own].mean(), max(entropy[own].std(), 0.05)
     return replace(model, mean=mean, sigma=sigma)
 
 
@@ -315,23 +342,89 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TEXTS_A_LANGUAGE, most_bytes: int = BYTES_A_TEXT) -> Model:
-    """A model from a bounded sample: at most ``texts`` texts of each language, of at most ``most_bytes`` bytes."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= most_bytes))
-    known = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A model from a bounded sample: at most ``texts`` whole texts of each language that has any, those of at most
+    ``most_bytes`` bytes first. Executors count and score, so the driver holds n-grams and not texts."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    known = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"), (F.octet_length(text) > most_bytes).alias("long"))
+    sizes = {(r["lang"], r["long"]): r["n"] for r in known.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], [])
+    languages = sorted({k for k, _ in sizes})
     # thinned where they are read, so that no language meets whole in one task
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * texts / n + 20 / n))))
+    want = {(k, long): max(0, texts - sizes.get((k, False), 0)) if long else texts for k, long in sizes}
+    shares = {long: {k: min(1.0, (1.5 * want[k, long] + 20) / n) if want[k, long] else -1.0 for (k, at), n in sizes.items() if at == long} for long in (False, True)}
+    share = lambda long: F.create_map(*(F.lit(x) for pair in shares[long].items() for x in pair))[F.col("lang")] if shares[long] else F.lit(-1.0)
     spread = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    drawn = known.withColumn("u", spread).filter(F.col("u") <= share[F.col("lang")])
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id", "text"))).filter(F.col("k") <= texts)
-    rows = sorted((r.lang, str(r.id), r.text) for r in drawn.select("lang", "id", "text").collect())
-    return fit([r[2] for r in rows], [r[0] for r in rows])
+    drawn = known.withColumn("u", spread).filter(F.col("u") <= F.when(F.col("long"), share(True)).otherwise(share(False)))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "u", "id", "text"))).filter(F.col("k") <= texts)
+    named = F.coalesce(F.col("id").cast("string"), F.lit("None"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(named, "text")).cast("bigint") - 1)
+    scratch = Scratch(spark, "langid")
+    sample = scratch.write(drawn.select("lang", "nth", "text").repartition(F.xxhash64("lang", "nth")), "sample")
+    letters = sample.select("text").mapInArrow(_over_letters, "letter bigint").distinct().toArrow()["letter"].to_numpy()
+    blank = _blank(languages, np.sort(letters).astype(np.uint32))
+    key = packed(np.zeros(0, np.uint8), *reversed(shape(blank.letters))).dtype
+    held = sample.mapInArrow(_over_grams(spark.sparkContext.broadcast(blank)), "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    number, gram, n = held["k"].to_numpy(), held["gram"].to_numpy().view(key), held["n"].to_numpy()
+    grams = []
+    for k in range(len(languages)):
+        mine = np.flatnonzero(number == k)
+        mine = mine[np.argsort(gram[mine])]
+        grams.append((gram[mine], n[mine]))
+    model = _smoothed(blank, grams)
+    scored = sample.mapInArrow(_over_scores(spark.sparkContext.broadcast(model)), "k int, nth bigint, entropy double, letters bigint").orderBy("k", "nth").toArrow()
+    k, nth, entropy, n = (scored[x].to_numpy() for x in ("k", "nth", "entropy", "letters"))
+    scratch.drop("sample")
+    return _calibrated(model, k, counts(nth), entropy, n)
+
+
+def _over_letters(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.uint32)
+    for whole in stream:
+        for batch in chunks(whole, "text"):
+            seen = np.union1d(seen, letters_of(batch.column(0)))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], ["letter"])
+
+
+def _over_grams(blank):
+    def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = blank.value.languages
+        for whole in stream:
+            for batch in chunks(whole, "text"):
+                lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
+                counted = counts(batch.column(1).to_numpy())
+                full, text_of = ngrams(batch.column(2), blank.value)
+                for k in np.unique(lang).tolist():
+                    gram, n = np.unique(full[(lang[text_of] == k) & counted[text_of]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)], ["k", "gram", "n"])
+
+    return over
+
+
+def _over_scores(model):
+    def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = model.value.languages
+        for whole in stream:
+            for batch in chunks(whole, "text", 1 << 19):
+                lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
+                entropy, letters = score_texts(batch.column(2), _ready(model.value))
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), batch.column(1), pa.array(entropy[np.arange(len(lang)), lang]), pa.array(letters)], ["k", "nth", "entropy", "letters"])
+
+    return over
 
 
 _OUT = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType()))
-_WORKER: dict[int, Lookup | None] = {}
+_WORKER: list[tuple[Model, Lookup | None]] = []
+
+
+def _ready(model: Model) -> Lookup | None:
+    """A model's lookup, kept in the worker for the next task."""
+    if not _WORKER or _WORKER[0][0] is not model:
+        _WORKER.clear()
+        _WORKER.append((model, Lookup(model) if model.languages else None))
+    return _WORKER[0][1]
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -344,10 +437,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if id(own) not in _WORKER:
-            _WORKER.clear()
-            _WORKER[id(own)] = Lookup(own) if own.languages else None
-        ready = _WORKER[id(own)]
+        ready = _ready(own)
         for whole in stream:
             for batch in chunks(whole, text, 1 << 19):
                 column = batch.column(batch.schema.get_field_index(text))

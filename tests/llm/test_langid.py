@@ -96,3 +96,30 @@ def test_wide_keys_give_the_same_scores(monkeypatch):
         assert (lookup.bits, lookup.n) == (bits, 4 if bits <= 16 else 3)
         if lookup.n == 4:
             assert np.allclose(langid.score_texts(column, lookup)[0], want, atol=1e-4)
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, t * 300, "en") for i, t in enumerate(EN)] + [(i + 50, t, "de") for i, t in enumerate(DE)]
+    assert min(len(t) for _, t, k in rows if k == "en") > langid.BYTES_A_TEXT / 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, most_bytes=5000)
+    assert model.languages == ["de", "en"]
+    assert {(r.lang, r.lang_pred, r.rejected) for r in langid.identify(docs, model).collect()} == {("en", "en", False), ("de", "de", False)}
+
+
+def test_long_texts_only_fill_up_and_counts_equal_a_local_fit(spark):
+    rows = [(i, t, "en") for i, t in enumerate(EN)] + [(i + 20, t * 9, "en") for i, t in enumerate(EN)] + [(None, "Ελλάδα και Αθήνα", "el"), (None, "Ελλάδα και Αθήνα", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def local(some):
+        some = sorted((k, str(i), t) for i, t, k in some)
+        return langid.fit([t for _, _, t in some], [k for k, _, _ in some])
+
+    for texts, want in ((40, rows), (12, rows[:12] + rows[24:])):
+        got, want = langid.train(docs, texts=texts, most_bytes=60), local(want)
+        assert got.languages == want.languages and (got.letters == want.letters).all()
+        for name in ("keys", "logp", "contexts", "backoff"):
+            assert all(np.array_equal(a, b) for a, b in zip(getattr(got, name), getattr(want, name), strict=True))
+        assert np.allclose(got.mean, want.mean) and np.allclose(got.sigma, want.sigma)
+    got = langid.train(docs, texts=18, most_bytes=60)
+    assert got.languages == ["el", "en"] and sum(map(len, got.keys)) > 64
