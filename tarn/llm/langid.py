@@ -44,8 +44,11 @@ BITS = 6
 _BOUNDARY, _OTHER = 0, (1 << BITS) - 1
 #: Up to this many bits a key is an address, beyond it is searched for.
 ADDRESS_BITS = 24
-#: Standard deviations (of the calibration texts) from their mean beyond which a text is rejected.
+#: Standard deviations (of the calibration texts, from their median deviation) from their median beyond which a text is
+#: rejected.
 REJECT_SIGMA = 12.0
+#: The standard deviation of normal values over their median deviation.
+MAD_TO_SIGMA = 1.4826
 
 
 def _folded() -> np.ndarray:
@@ -316,7 +319,9 @@ def _calibrated(model: Model, lang: np.ndarray, counted: np.ndarray, entropy: np
         if not own.any():
             own = (lang == k) & (n > 0)
         if own.any():
-            mean[k], sigma[k] = entropy[own].mean(), max(entropy[own].std(), 0.05)
+            # by median and median deviation, which a few mislabelled or junk texts do not move
+            mean[k] = np.median(entropy[own])
+            sigma[k] = max(MAD_TO_SIGMA * np.median(np.abs(entropy[own] - mean[k])), 0.05)
     return replace(model, mean=mean, sigma=sigma)
 
 

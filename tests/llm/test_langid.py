@@ -123,3 +123,17 @@ def test_long_texts_only_fill_up_and_counts_equal_a_local_fit(spark):
         assert np.allclose(got.mean, want.mean) and np.allclose(got.sigma, want.sigma)
     got = langid.train(docs, texts=18, most_bytes=60)
     assert got.languages == ["el", "en"] and sum(map(len, got.keys)) > 64
+
+
+def test_junk_among_calibration_texts_does_not_widen_the_limit():
+    rng = np.random.default_rng(7)
+    words = " ".join(DE).split()
+    clean = [" ".join(rng.choice(words, 60)) for _ in range(100)]
+    junk = list(clean)
+    for k in (4, 9):  # held back from the counts
+        junk[k] = " ".join("".join(rng.choice(list("qxjyvpk"), 6)) for _ in range(60))
+    a, b = (langid.fit(texts, ["de"] * 100) for texts in (clean, junk))
+    limit = lambda m: m.mean[0] + langid.REJECT_SIGMA * m.sigma[0]
+    assert abs(limit(a) - limit(b)) < 0.3
+    entropy, n = langid.score_texts(pa.array([junk[4], *EN], pa.string()), langid.Lookup(b))
+    assert (entropy[0, 0] > limit(b) * 1.2) and n[0] > 300
