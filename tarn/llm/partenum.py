@@ -516,10 +516,17 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, one of each component: that with the least id. Texts without words all stay."""
-    classes = join_classes(docs, doc_id=doc_id, text=text)
-    gone = classes.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """The documents, all columns, one row of each component. Texts without words all stay.
+
+    The row with the least id stays, nulls last; among rows of one id that with the least hash of the text, then the first.
+    Rows are numbered and written, so what goes is that row and not its id.
+    """
+    row, key = "__row", "__key"
+    numbered = Scratch(docs.sparkSession, "keep-one").write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(row).alias("row"))
+    classes = join_classes(numbered.select(order.alias(key), F.col(text).alias("text")), doc_id=key)
+    gone = classes.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id.row").alias("__gone"))
+    return numbered.join(gone, numbered[row] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def op1_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,17 @@ def test_repeated_ids_and_empty_table(spark):
     assert partenum.join_classes(docs.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    near, other, third = "a b c d e f g h", "one two three four five six seven", "p q r s t u v w x y z"
+    rows = [(1, near, 0), (1, near, 1), (2, near, 2), (None, near, 3), (None, other, 4), (None, other, 5), (2, third, 6), (9, " ", 7), (9, " ", 8), (1, "x1 x2 x3 x4 x5 x6", 9), (4, "x1 x2 x3 x4 x5 x6", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3, "n")
+    kept = partenum.keep_one(docs)
+    assert kept.schema == docs.schema
+    left = {r.n for r in kept.collect()}
+    assert len(left & {0, 1}) == 1 and len(left & {4, 5}) == 1
+    assert left - {0, 1, 4, 5} == {6, 7, 8, 9}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 200), (300, 200), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links, Scratch(spark, "test"), "cc").collect()}
