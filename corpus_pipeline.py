@@ -44,9 +44,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids and their number; every text decodes to itself."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "text"))
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """doc_id, the number of token ids, the ids, and the SHA-256 of the bytes they decode to, which is the text's."""
+    encoded = bpe.encode_texts(docs.select("doc_id", "text"), digest="decoded_sha256")
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -66,20 +66,25 @@ def _load(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode_texts(docs: DataFrame, *, text: str = "text", into: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The documents with their token ids in the column ``into``, which replaces one of that name."""
+def encode_texts(docs: DataFrame, *, text: str = "text", into: str = "ids", digest: str | None = None, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """The documents with their token ids in the column ``into``, and where named in ``digest`` the SHA-256 of the bytes
+    these decode to; they replace columns of those names."""
     spark = docs.sparkSession
     bounded_batches(spark)
     ranks = _load(spark, path)
-    docs = docs.drop(into) if into != text else docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(into, T.ArrayType(T.IntegerType())), *([T.StructField(digest, T.StringType())] if digest else [])]
+    docs = docs.drop(*(x.name for x in added if x.name != text))
+    schema, names = T.StructType([*docs.schema.fields, *added]), [x.name for x in added]
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoding(ranks.value, pattern)
         for whole in stream:
             for batch in chunks(whole, text):
                 ids = [encode(tokenizer, x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, into])
+                columns = [pa.array(ids, pa.list_(pa.int32()))]
+                if digest:
+                    columns.append(pa.array([hashlib.sha256(tokenizer.decode_bytes(x)).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return docs.mapInArrow(over, schema)
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import corpus_pipeline as pipeline
@@ -68,3 +69,10 @@ def test_nulls_and_empty_tables(spark):
         for _, stage in pipeline.STAGES:
             out = stage(spark, out, SF)
         assert out.count() in ((1, 2) if rows is docs else (0,))
+
+
+def test_encoding_returns_the_digest_of_what_it_decodes_to(spark):
+    texts = {1: "The text, naïve — 漢字 🙂  \n", 2: "", 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = by_id(pipeline.encode(spark, docs, SF))
+    assert {i: r.decoded_sha256 for i, r in rows.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
