@@ -34,10 +34,9 @@ _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """Stripped, A-Z lower-cased. ``lower`` is the faster way where all is ASCII."""
-    bare = F.trim(line, F.lit(_SPACE))
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
+def _folded(line: Column) -> Column:
+    """A-Z lower-cased. ``lower`` is the faster way where all is ASCII."""
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
 
 
 def _hashed(key: Column) -> Column:
@@ -45,6 +44,12 @@ def _hashed(key: Column) -> Column:
     return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
 
 
+def keys_of(text: Column) -> Column:
+    """The hashed key of each line. One transform a step: what is written twice inside a lambda is computed twice."""
+    bare = F.transform(lines_of(text), lambda x: F.trim(x, F.lit(_SPACE)))
+    return F.transform(F.transform(bare, _folded), _hashed)
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -117,8 +122,7 @@ def mark_common_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("digest"), F.transform(lines_of(F.col(text)), lambda x: _hashed(line_key(x))).alias("keys"))
-    source = source.filter(F.exists("keys", lambda k: k.isNotNull()))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("digest"), keys_of(F.col(text)).alias("keys"))
     batch = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)).cast("int")
     keyed = scratch.write(source.withColumn("batch", batch), "keys", ("batch",))
     runs = LineRuns(spark, min_docs)
@@ -142,9 +146,8 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def _kept(text: Column, positions: Column) -> Column:
-    """The text without the lines at ``positions``; in time linear in the lines."""
-    lines = lines_of(text)
+def _kept(text: Column, lines: Column, positions: Column) -> Column:
+    """The text without the lines at ``positions``, in time linear in the lines where ``lines`` is a column that is there already."""
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
     return F.when(positions.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 
@@ -152,18 +155,18 @@ def _kept(text: Column, positions: Column) -> Column:
 def drop_common_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents, all columns, with their common lines removed from the text."""
     marked, _, positions = mark_common_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs)
-    return marked.withColumn(text, _kept(F.col(text), F.col(positions))).select(*docs.columns)
+    lines = _free("lines", marked.columns)
+    return marked.withColumn(lines, lines_of(F.col(text))).withColumn(text, _kept(F.col(text), F.col(lines), F.col(positions))).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked, _, positions = mark_common_lines(docs)
-    text = F.coalesce("text", F.lit(""))
-    return marked.select(
+    return marked.withColumn("lines", lines_of(F.col("text"))).select(
         "doc_id",
-        F.size(lines_of(text)).cast("bigint").alias("n_lines"),
+        F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size(positions), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.sha2(_kept(text, F.col(positions)), 256).alias("kept_sha256"),
+        F.sha2(_kept(F.coalesce("text", F.lit("")), F.col("lines"), F.col(positions)), 256).alias("kept_sha256"),
     )
 
 
