@@ -2,7 +2,8 @@
 
 Long texts are cut at safe boundaries before they are encoded: places where the splitting pattern
 always starts a new match, whatever stands before and after. No piece crosses such a place, so the
-ids are those of the whole text, and memory stays bounded by the part.
+ids are those of the whole text, and what the library holds stays bounded by the part (or by the longest stretch without a boundary,
+such as one word of any length, which is a single piece for the pattern too).
 
 Defined cases: a null text encodes as the empty text (no ids); the vocabulary has no special tokens, so
 their strings are ordinary text; decoding joins the raw bytes of ids, which need not be valid UTF-8;
@@ -31,16 +32,21 @@ from ._words import chunks
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters that are encoded at once; a longer text is cut at the first safe boundary after them.
 PART_CHARS = 1 << 16
-#: Before a single space that follows a letter and precedes an ASCII letter: ` ?\\p{L}+` ends a match before the
-#: space (letters never take it in, contractions end in letters) and always starts one with it.
+#: Between a letter and a space that a letter follows: a match that has taken a letter never goes on with a space, and the next
+#: one begins with it, by the patterns of all tokenizers of this kind.
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: By ``PATTERN``, no match goes on from what is no space to a space, nor from a letter to punctuation. (Scripts that are written
+#: without spaces are cut at their own punctuation.)
+_SAFE_HERE = re.compile("(?<=\\S)(?=[ \\t\\n\\x0b\\x0c\\r])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
-def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """The text in parts of about ``size`` characters, cut at safe boundaries only."""
-    begin = 0
+def parts(text: str, size: int = PART_CHARS, pattern: str = public_tokenizers.PATTERN) -> Iterator[str]:
+    """The text in parts of about ``size`` characters (at least one), cut at safe boundaries only; a stretch without one stays whole."""
+    if size < 1:
+        raise ValueError("a part has at least one character")
+    safe, begin = _SAFE_HERE if pattern == public_tokenizers.PATTERN else _SAFE, 0
     while len(text) - begin > size:
-        cut = _SAFE.search(text, begin + size)
+        cut = safe.search(text, begin + size)
         if cut is None:
             break
         yield text[begin : cut.start()]
@@ -56,7 +62,7 @@ def encoding(rank_file: bytes, pattern: str) -> tiktoken.Encoding:
 
 def encode(tokenizer: tiktoken.Encoding, text: str | None) -> list[int]:
     out: list[int] = []
-    for part in parts(text or ""):
+    for part in parts(text or "", pattern=tokenizer._pat_str):
         out += tokenizer.encode_ordinary(part)
     return out
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,12 +12,24 @@ with open(public_tokenizers.path(bpe.RANKS), "rb") as f:
     TOKENIZER = bpe.encoding(f.read(), public_tokenizers.PATTERN)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab 'sZé9\n\t.!<|>"), max_size=60), st.integers(0, 9))
+OTHER = bpe.tiktoken.Encoding("other", pat_str=r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", mergeable_ranks=TOKENIZER._mergeable_ranks, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab 'sZé9\n\t.!<|>\u00a0\x1c漢字か한。，жя\r\u0301"), max_size=60), st.integers(1, 9))
 def test_parts_encode_as_the_whole(text, size):
-    parts = list(bpe.parts(text, size))
-    assert "".join(parts) == text
-    assert sum((TOKENIZER.encode_ordinary(x) for x in parts), []) == TOKENIZER.encode_ordinary(text)
+    for tokenizer in (TOKENIZER, OTHER):
+        parts = list(bpe.parts(text, size, tokenizer._pat_str))
+        assert "".join(parts) == text
+        assert sum((tokenizer.encode_ordinary(x) for x in parts), []) == tokenizer.encode_ordinary(text)
+
+
+def test_parts_need_a_size_and_cut_every_script():
+    with pytest.raises(ValueError):
+        list(bpe.parts("a b a b", 0))
+    for text in ("слово и дело, " * 400, "漢字かな、한국。" * 400, "λόγος 12\n" * 400, "well-known... things? " * 400):
+        assert max(map(len, bpe.parts(text, 100))) < 140
+    assert list(bpe.parts("a" * 1000, 10)) == ["a" * 1000]
 
 
 TEXTS = [(1, "Hello world's <|endoftext|> 12"), (2, None), (3, ""), (4, "naïve 漢字 🙂 \r\n "), (4, "naïve"), (5, "word and more " * 20000), (None, "a" * 3000)]
