@@ -4,8 +4,9 @@ The items' words go into one automaton (states hold sets of end positions, trans
 Training texts stream through it; the longest match that ends at each word tells which windows of an
 item occur there. Spans of such words can be cut out, and texts mostly made of them dropped.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words, so the automaton that is broadcast has a
-fixed bound; each further block is one more pass over the texts.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words, so the automaton that is broadcast has a fixed bound. Each further block
+is one more pass: what the passes before have found is written with the texts, and their automata are freed, so one is held
+at a time.
 
 Defined cases: a null or empty text has no words and is kept as it is; an item without words never
 occurs; equal items (or item ids) count once each id; no items means no hits; other columns of the
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches, table
+from ._spark import Scratch, bounded_batches, table
 from ._words import ALNUM_LOWER, Words, chunks, words
 
 #: Words of an occurring window.
@@ -86,17 +87,17 @@ class Automaton:
         for number, item in enumerate(items):
             state = 0
             for i, word in enumerate(item):
-                state = self.next[state][word]
+                state = self._at_window(self.next[state][word])
                 if i + 1 >= self.window:
-                    self.of_window.setdefault(self.suffix_state(state, self.window), set()).add(number)
+                    self.of_window.setdefault(state, set()).add(number)
             if 0 < len(item) < self.window:
                 self.of_short.setdefault(state, []).append((len(item), number))
 
-    def suffix_state(self, state: int, size: int) -> int:
-        """The state of the last ``size`` words of a state's strings, where those are long enough."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def _at_window(self, state: int) -> int:
+        """The state of the last ``window`` words of one more word than that; fewer words stay. A single link, so that a text
+        takes time linear in its words however periodic the items are."""
+        link = self.link[state]
+        return link if link >= 0 and self.length[link] >= self.window else state
 
     def stream(self, text: list[int]) -> Iterator[tuple[int, int, int]]:
         """(end, words, item) for each window of an item that ends before position ``end``."""
@@ -107,9 +108,9 @@ class Automaton:
                 matched = self.length[state]
             if word not in self.next[state]:
                 continue
-            state, matched = self.next[state][word], matched + 1
-            if matched >= self.window:
-                for item in self.of_window.get(self.suffix_state(state, self.window), ()):
+            state, matched = self._at_window(self.next[state][word]), min(matched + 1, self.window)
+            if matched == self.window:
+                for item in self.of_window.get(state, ()):
                     yield i + 1, self.window, item
             if self.of_short:
                 at = state
@@ -212,6 +213,24 @@ def _blocks(items: DataFrame, item_id: str, text: str, window: int, block_words:
         yield Matcher.of(ids, held, window)
 
 
+def _with_last(matchers: Iterator[Matcher], none: Matcher) -> Iterator[tuple[Matcher, bool]]:
+    """Each matcher and whether it is the last one; the other where there is none."""
+    held = next(matchers, none)
+    for matcher in matchers:
+        yield held, False
+        held = matcher
+    yield held, True
+
+
+def _written(out: DataFrame, scratch: Scratch, k: int, shared) -> DataFrame:
+    """What a pass has made, written; its automaton and what the pass before wrote go."""
+    out = scratch.write(out, f"pass-{k}")
+    shared.destroy()
+    if k:
+        scratch.drop(f"pass-{k - 1}")
+    return out
+
+
 def _spans(mask: np.ndarray) -> list[list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return edge.reshape(-1, 2).tolist()
@@ -237,10 +256,12 @@ def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str
     id_type = docs.schema[doc_id].dataType
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("array<array<bigint>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("text", T.StringType()), *(_FOUND[k] for k in ("spans", "items", "n_words"))])
-    matchers = list(map(spark.sparkContext.broadcast, _blocks(items, item_id, item_text, window, block_words)))
-    for k, matcher in enumerate(matchers or [spark.sparkContext.broadcast(Matcher.of([], [], window))]):
-        last = k >= len(matchers) - 1 and not keep_text
-        out = out.mapInArrow(_pass(matcher, last), schema)
+    scratch = Scratch(spark, "decontaminate")
+    for k, (matcher, last) in enumerate(_with_last(_blocks(items, item_id, item_text, window, block_words), Matcher.of([], [], window))):
+        shared = spark.sparkContext.broadcast(matcher)
+        out = out.mapInArrow(_pass(shared, last and not keep_text), schema)
+        if not last:
+            out = _written(out, scratch, k, shared)
     columns = ["doc_id", *(["text"] if keep_text else []), "n_words", "spans", "items"]
     return out.select(*columns)
 
@@ -274,13 +295,14 @@ def remove(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
     at, schema, held = docs.columns.index(text), docs.schema, "spans"
     while held.lower() in map(str.lower, docs.columns):
         held += "_"
-    matchers = list(map(spark.sparkContext.broadcast, _blocks(items, item_id, item_text, window, block_words)))
-    if not matchers:
-        return docs
     out, with_spans = docs.withColumn(held, F.lit(None).cast(_FOUND["spans"].dataType)), T.StructType([*schema.fields, T.StructField(held, _FOUND["spans"].dataType)])
-    for matcher in matchers[:-1]:
-        out = out.mapInArrow(_mark(matcher, at), with_spans)
-    return out.mapInArrow(_cut(matchers[-1], at, max_coverage), schema)
+    scratch = Scratch(spark, "decontaminate")
+    for k, (matcher, last) in enumerate(_with_last(_blocks(items, item_id, item_text, window, block_words), Matcher.of([], [], window))):
+        shared = spark.sparkContext.broadcast(matcher)
+        if last:
+            return out.mapInArrow(_cut(shared, at, max_coverage), schema)
+        out = _written(out.mapInArrow(_mark(shared, at), with_spans), scratch, k, shared)
+    raise AssertionError
 
 
 def _merged(matcher, batch: pa.RecordBatch, at: int) -> tuple[Words, np.ndarray]:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +127,12 @@ def test_query_equals_brute_force(spark):
                 ids |= grams[tuple(w[j : j + 10])]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(ids), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def test_periodic_items_take_linear_time():
+    n = 40_000
+    matcher = d.Matcher.of(["same", "two"], [words(pa.array([x]), ALNUM_LOWER).hash for x in ("w " * n, "w v " * n)], d.WINDOW)
+    began = time.process_time()
+    mask, items = matcher.hits(words(pa.array(["w " * n + "v w " * n, "v " * 20]), ALNUM_LOWER))
+    assert time.process_time() - began < 20  # with a climb of all suffixes at each word: many minutes
+    assert mask[: 3 * n].all() and not mask[3 * n :].any() and items == [{"same", "two"}, set()]
