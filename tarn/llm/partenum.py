@@ -19,11 +19,14 @@ Two refinements keep signatures few and buckets small without losing a pair:
 Candidates first compare parity sketches: bit maps in which each feature flips one bit, so that they differ in no more
 places than the sets do. Pairs that this leaves open are verified on the sets themselves. A bucket is checked against its first member; members found
 linked need no further look; pairs of a bucket that are still in different components after that are checked too, so
-components are exact. Texts with equal sets share one handle and are never compared.
+components are exact. A bucket in which sketches and sizes rule out all pairs across components is done with, for components only
+ever merge. Buckets of many members are dealt out in blocks that meet two by two. Texts with equal sets share one handle and are
+never compared; of such texts one is shingled again when its set is needed.
 
 Defined cases: null, empty or wordless texts have the empty set and are linked with nothing; a text of fewer words
 than a shingle has the whole sequence as its one feature; repeated rows and ids are copies; an empty table
-gives an empty result; only id and text are read. Handles are 64-bit hashes of sets.
+gives an empty result; only id and text are read. Handles are 64-bit hashes of sets; sets are held apart by another 64 bits:
+where two of one handle differ in these, both take these as their handles.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, bounded_batches, even_keys, partitions, release, table
-from ._words import SPACED_LOWER, chunks, mix, ngram_hashes, words
+from ._words import SPACED_LOWER, bytes_of, chunks, mix, ngram_hashes, ranges, words
 from .components import components
 
 #: Words of a shingle.
@@ -57,7 +61,11 @@ LEAST_BITS, MOST_BITS = 8, 16
 FLUSH = 1 << 20
 #: Bits of the filter that keeps texts without a candidate from the verification (a full filter only lets more through).
 FILTER_BITS = 1 << 23
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Members of a bucket that one group compares; a larger bucket is dealt out in blocks of about so many.
+BLOCK = 2048
+#: Members whose sketches a task holds at once (a group is never cut), and bytes of sketches compared at once.
+HELD_MEMBERS, COMPARED = 1 << 14, 1 << 25
+_GOLD, _CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
@@ -68,13 +76,15 @@ class Sets:
     feature: np.ndarray
     first: np.ndarray
     handle: np.ndarray
+    check: np.ndarray
 
     @property
     def size(self) -> np.ndarray:
         return np.diff(self.first)
 
 
-def sets_of(column: pa.Array, shingle: int = SHINGLE) -> Sets:
+def sets_of(column: pa.Array, shingle: int = SHINGLE, clashes: np.ndarray | None = None, handle_bits: int = 64) -> Sets:
+    """clashes: the sorted handles that different sets share; ``check`` takes their place."""
     found = words(column, SPACED_LOWER)
     n, count = len(column), found.per_text
     text_of, features = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -95,11 +105,16 @@ def sets_of(column: pa.Array, shingle: int = SHINGLE) -> Sets:
     new[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
     text, feature = text[new], feature[new]
     first = np.searchsorted(text, np.arange(n + 1))
-    handle = np.zeros(n, np.uint64)
+    handle, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        handle[some] = mix(np.add.reduceat(mix(feature * _GOLD), first[some]) + np.diff(first)[some].astype(np.uint64))
-    return Sets(text, feature, first, handle)
+        size = np.diff(first)[some].astype(np.uint64)
+        handle[some] = mix(np.add.reduceat(mix(feature * _GOLD), first[some]) + size) >> np.uint64(64 - handle_bits)
+        check[some] = mix(np.add.reduceat(mix(feature ^ _CHECK), first[some]) ^ size)
+        if clashes is not None and len(clashes):
+            twice = np.isin(handle, clashes)
+            handle[twice] = check[twice]
+    return Sets(text, feature, first, handle, check)
 
 
 def bands() -> Iterator[tuple[int, int]]:
@@ -203,34 +218,67 @@ def sketches(sets: Sets) -> list[bytes]:
     return out
 
 
-def least_difference(x: bytes, y: bytes) -> int:
-    """In at least so many features the sets of two sketches differ."""
-    a, b = (np.frombuffer(s, np.uint64) for s in (x, y))
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) > len(b):
-        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+class Sketches:
+    """A column of sketches, folded to the width at which two of them are compared."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.words = np.diff(bytes_of(column)[1]) >> 3
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == width)
+            self.folded[width] = own, bytes_of(column.take(pa.array(own)))[0].view(np.uint64).reshape(-1, width)
+        self._at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of this width or a larger one, folded to it, and the place of each row's among them."""
+        if width not in self._at:
+            place, parts, n = np.zeros(len(self.words), np.int64), [np.zeros((0, width), np.uint64)], 0
+            for wide, (own, matrix) in self.folded.items():
+                if wide >= width:
+                    parts.append(np.bitwise_xor.reduce(matrix.reshape(len(own), -1, width), axis=1))
+                    place[own] = n + np.arange(len(own))
+                    n += len(own)
+            self._at[width] = np.concatenate(parts), place
+        return self._at[width]
+
+
+def least_differences(one: Sketches, i: np.ndarray, two: Sketches, j: np.ndarray) -> np.ndarray:
+    """In at least so many features the sets of sketches i and j differ."""
+    out, width = np.zeros(len(i), np.int64), np.minimum(one.words[i], two.words[j])
+    for w in np.unique(width[width > 0]).tolist():
+        own = np.flatnonzero(width == w)
+        (x, at_x), (y, at_y) = one.at(w), two.at(w)
+        for part in np.array_split(own, max(1, len(own) * w * 8 // COMPARED)):
+            out[part] = np.bitwise_count(x[at_x[i[part]]] ^ y[at_y[j[part]]]).sum(axis=1, dtype=np.int64)
+    return out
+
 
+def _digests(column: pa.Array) -> np.ndarray:
+    """A hash of each text's bytes."""
+    raw, offsets = bytes_of(column)
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
 
-def _describe(shingle: int):
-    """Rows (doc_id, n_shingles, handle, sketch, null, null) of texts, and (null, .., feature, sets) of features frequent in a task."""
-    names = ["doc_id", "n_shingles", "handle", "sketch", "feature", "sets"]
+
+def _describe(shingle: int, handle_bits: int):
+    """Rows (doc_id, n_shingles, handle, check, digest, sketch, null, null) of texts, and (null, .., feature, sets) of features
+    frequent in a task."""
+    names = ["doc_id", "n_shingles", "handle", "check", "digest", "sketch", "feature", "sets"]
 
     def counted(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         feature, count = np.unique(np.concatenate(held), return_counts=True)
         feature, count = feature[count >= FREQUENT_THERE], count[count >= FREQUENT_THERE]
         m = len(feature)
-        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), _signed(feature), pa.array(count)], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.binary()), _signed(feature), pa.array(count)], names)
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen, id_type = [], 0, set(), pa.int64()
         for whole in stream:
             for batch in chunks(whole, "text"):
-                sets = sets_of(batch.column(1), shingle)
+                sets = sets_of(batch.column(1), shingle, None, handle_bits)
                 n, id_type = batch.num_rows, batch.column(0).type
                 blank = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), _signed(sets.handle), pa.array(sketches(sets), pa.binary()), blank, blank], names)
+                hashes = map(_signed, (sets.handle, sets.check, _digests(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), *hashes, pa.array(sketches(sets), pa.binary()), blank, blank], names)
                 fresh = np.array([h not in seen and not seen.add(h) for h in sets.handle.tolist()], bool)
                 held.append(sets.feature[fresh[sets.text_of]])
                 size += len(held[-1])
@@ -243,7 +291,7 @@ def _describe(shingle: int):
     return over
 
 
-def _deal(shingle: int, common, names: list[int]):
+def _deal(sets_from, common, names: list[int]):
     """Signatures with handles, as one binary a part: 48 bits of the signature and 16 of the handle's place, then the handles."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -265,14 +313,14 @@ def _deal(shingle: int, common, names: list[int]):
         held, size, seen = [], 0, set()
         for whole in stream:
             for batch in chunks(whole, "text"):
-                sets = sets_of(batch.column(1), shingle)
+                sets = sets_from(batch.column(1))
                 fresh = np.zeros(batch.num_rows, bool)  # copies within a flush give their signatures once
                 for i, h in enumerate(sets.handle.tolist()):
                     if h not in seen and sets.size[i]:
                         seen.add(h)
                         fresh[i] = True
                 use = fresh[sets.text_of]
-                kept = Sets(sets.text_of[use], sets.feature[use], np.concatenate([[0], np.cumsum(np.where(fresh, sets.size, 0))]), sets.handle)
+                kept = Sets(sets.text_of[use], sets.feature[use], np.concatenate([[0], np.cumsum(np.where(fresh, sets.size, 0))]), sets.handle, sets.check)
                 sig, text = signatures(kept, common.value)
                 held.append((sig, sets.handle[text]))
                 size += len(sig)
@@ -286,7 +334,7 @@ def _deal(shingle: int, common, names: list[int]):
 
 
 def _buckets(group: pa.Table) -> pa.Table:
-    """Star edges (bucket, leader, member) of all signatures of a part; buckets with the same members count once."""
+    """Star edges (bucket, size, leader, member) of all signatures of a part; buckets with the same members count once."""
     sigs, handles = [], []
     for blob in group.column("blob"):
         raw = np.frombuffer(blob.as_buffer(), np.uint64)
@@ -307,7 +355,7 @@ def _buckets(group: pa.Table) -> pa.Table:
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (handle[1:] != handle[:-1])
     sig, handle = sig[new], handle[new]
-    empty = pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "leader", "member")})
+    empty = pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "size", "leader", "member")})
     if not len(sig):
         return empty
     begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -319,7 +367,7 @@ def _buckets(group: pa.Table) -> pa.Table:
         return empty
     many = size[once] - 1
     members = np.repeat(begin[once] + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    return pa.table({"bucket": _signed(np.repeat(bucket[once], many)), "leader": pa.array(np.repeat(handle[begin[once]], many)), "member": pa.array(handle[members])})
+    return pa.table({"bucket": _signed(np.repeat(bucket[once], many)), "size": pa.array(np.repeat(size[once], many)), "leader": pa.array(np.repeat(handle[begin[once]], many)), "member": pa.array(handle[members])})
 
 
 def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,27 +381,29 @@ def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _filter_of(wanted: DataFrame) -> np.ndarray:
-    """A bit map of handles: of fixed size however many there are."""
-    bit = F.col("handle").bitwiseAND(F.lit(FILTER_BITS - 1))
-    filled = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr("shiftleft(1L, cast(handle & 31 as int))").alias("bits"))
+def _filter_of(digests: DataFrame) -> np.ndarray:
+    """A bit map of digests: of fixed size however many there are."""
+    bit = F.col("digest").bitwiseAND(F.lit(FILTER_BITS - 1))
+    filled = digests.select(F.shiftright(bit, 5).alias("word"), F.expr("shiftleft(1L, cast(digest & 31 as int))").alias("bits"))
     out = np.zeros(FILTER_BITS >> 5, np.int64)
     for word, bits in filled.groupBy("word").agg(F.bit_or("bits")).collect():
         out[word] = bits
     return out
 
 
-def _fetch(shingle: int, maybe):
-    """(handle, features) of the texts that may have candidates, copies in a task once."""
+def _fetch(sets_from, maybe):
+    """(handle, features) of the texts whose digests may be wanted; no other text is shingled."""
 
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in stream:
             for batch in chunks(whole, "text"):
-                sets = sets_of(batch.column(1), shingle)
-                bit = (sets.handle & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                rows = []
-                for i in np.flatnonzero((maybe.value[bit >> 5] >> (bit & 31)) & 1 & (sets.size > 0)).tolist():
+                bit = (_digests(batch.column(1)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                wanted = np.flatnonzero((maybe.value[bit >> 5] >> (bit & 31)) & 1)
+                if not len(wanted):
+                    continue
+                sets, rows = sets_from(batch.column(1).take(pa.array(wanted))), []
+                for i in np.flatnonzero(sets.size > 0).tolist():
                     if (h := int(sets.handle[i])) not in seen:
                         seen.add(h)
                         rows.append(i)
@@ -368,48 +418,78 @@ def _fetch(shingle: int, maybe):
 def _maybe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (a, b) whose sketches leave open that they are linked; n is the sum of their sizes."""
     for batch in stream:
-        bounds = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-        keep = [least_difference(x, y) <= n // 7 for n, x, y in bounds]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        rows = np.arange(batch.num_rows)
+        apart = least_differences(Sketches(batch.column(3)), rows, Sketches(batch.column(4)), rows)
+        yield batch.select(["a", "b"]).filter(pa.array(apart <= batch.column(2).to_numpy() // 7))
+
+
+def _groups_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups (equal bucket, low and high: neighbours in the stream), many at once."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(k)[row].as_py() for k in range(3))
+
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        full = sum(x.num_rows for x in held) >= HELD_MEMBERS or sum(x.nbytes for x in held) >= COMPARED
+        if held and full and key(batch, 0) != key(batch, batch.num_rows - 1):
+            first = key(batch, 0)
+            end = next(i for i in range(batch.num_rows) if key(batch, i) != first)
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held, batch = [], batch.slice(end)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _pairs_apart(nearest: bool):
-    """The pairs of a bucket in different components that sizes and sketches do not rule out; with ``nearest`` only that of
-    each member with the one whose sketch differs least."""
-
-    def over(bucket: pa.Table) -> pa.Table:
-        node, root, n = (bucket.column(k).to_numpy() for k in ("node", "root", "n"))
-        order = np.argsort(n, kind="stable")
-        node, root, n = node[order], root[order], n[order]
-        raw = bucket.column("sketch").take(pa.array(order)).to_pylist()
-        width = min(map(len, raw)) // 8
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in raw])
-        least, other = np.full(len(node), 1 << 40), np.zeros(len(node), np.int64)
-        found: list[tuple[int, int]] = []
-        for i in range(len(node)):  # sizes rise: those that can be linked follow at once
-            end = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))
-            near = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
-            if not len(near):
-                continue
-            apart = np.bitwise_count(folded[near] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            can = apart <= (n[near] + n[i]) // 7
-            near, apart = near[can], apart[can]
-            if not nearest:
-                found += [(i, j) for j in near.tolist()]
-            elif len(near):
-                if apart.min() < least[i]:
-                    least[i], other[i] = apart.min(), near[apart.argmin()]
-                closer = near[apart < least[near]]
-                least[closer], other[closer] = apart[apart < least[near]], i
-        if nearest:
-            found = [(i, int(other[i])) for i in np.flatnonzero(least < 1 << 40).tolist()]
-        found = [(node[i], node[j]) for i, j in found if least_difference(raw[i], raw[j]) <= (n[i] + n[j]) // 7]
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    """The pairs of a group in different components that sizes and sketches do not rule out, with the bucket; with ``nearest``
+    only that of each member with the one whose sketch differs least. Rows are sorted by group and size."""
+
+    def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups_of(stream):
+            bucket, low, high, n, node, root, own = (group.column(k).to_numpy() for k in ("bucket", "low", "high", "n", "node", "root", "own"))
+            sketch = Sketches(group.column("sketch").combine_chunks())
+            new = np.ones(len(n), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            place = (np.cumsum(new) << 32) + n  # sizes rise in a group: those that can be linked follow at once
+            rows = np.arange(len(n))
+            many = np.searchsorted(place, place - n + 100 * n // PERCENT, side="right") - rows - 1
+            found = [np.zeros((3, 0), np.int64)]
+            cuts = np.searchsorted(np.cumsum(many), np.arange(1 << 20, int(many.sum()) + 1, 1 << 20))
+            for part in np.split(rows, np.unique(cuts)):
+                i, j = np.repeat(part, many[part]), ranges(part + 1, many[part])
+                use = (root[i] != root[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
+                i, j = i[use], j[use]
+                apart = least_differences(sketch, i, sketch, j)
+                can = apart <= (n[i] + n[j]) // 7
+                found.append(np.stack([i[can], j[can], apart[can]]))
+            i, j, apart = np.concatenate(found, axis=1)
+            if nearest:
+                member, other, gap = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+                order = np.lexsort((other, gap, member))
+                first = order[np.flatnonzero(np.diff(member[order], prepend=-1))]
+                i, j = member[first], other[first]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[i], a, b)], ["bucket", "a", "b"])
 
     return over
 
 
+def _members(stars: DataFrame, buckets: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets with their roots, sizes and sketches, sorted in groups (bucket, low, high): blocks low and high
+    of a bucket meet in one."""
+    slim = stars.join(buckets, "bucket", "left_semi").select("bucket", "size", F.explode(F.array("leader", "member")).alias("node")).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    slim = slim.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = slim.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n", "sketch"), "node")
+    full = full.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "n", "node", F.coalesce("root", "node").alias("root"), "own", "sketch")
+    return full.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n")
+
+
 def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out."""
     one = classes.select(F.col("handle").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
@@ -418,11 +498,11 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y").mapInArrow(_maybe, "a long, b long")
 
 
-def _fetched(source: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def _fetched(source: DataFrame, pairs: DataFrame, classes: DataFrame, sets_from) -> DataFrame:
     """(handle, features) of the sets in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("handle")).distinct()
-    maybe = source.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    sets = source.mapInArrow(_fetch(shingle, maybe), "handle long, features binary")
+    maybe = source.sparkSession.sparkContext.broadcast(_filter_of(classes.join(wanted, "handle", "left_semi").select("digest")))
+    sets = source.mapInArrow(_fetch(sets_from, maybe), "handle long, features binary")
     return sets.join(wanted, "handle", "left_semi").dropDuplicates(["handle"])
 
 
@@ -434,21 +514,34 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def _stars(source: DataFrame, described: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(bucket, leader, member) of all buckets of more than one set."""
-    spark = source.sparkSession
+def _most_frequent(described: DataFrame, scratch: Scratch) -> np.ndarray:
+    """At most about ``MOST_FREQUENT`` of the most frequent features, those of whole levels of frequency where that is enough."""
     frequent = described.filter("feature is not null").groupBy("feature").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT)
-    listed = frequent.orderBy(F.desc("sets"), "feature").limit(MOST_FREQUENT).select("feature").toPandas()
-    common = spark.sparkContext.broadcast(np.sort(listed["feature"].to_numpy(np.int64).view(np.uint64)))
-    dealt = source.mapInArrow(_deal(shingle, common, even_keys(spark, partitions(spark))), "part long, blob binary")
-    return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, leader long, member long"), "stars")
+    frequent = scratch.write(frequent.select("feature", F.floor(F.log2("sets") * 4).cast("int").alias("level")), "frequent")
+    least, held, share = 1 << 30, 0, 1.0
+    for level, n in sorted(map(tuple, frequent.groupBy("level").count().collect()), reverse=True):
+        if held + n > MOST_FREQUENT:
+            if not held:
+                least, share = level, MOST_FREQUENT / n
+            break
+        least, held = level, held + n
+    listed = frequent.filter((F.col("level") >= least) & (F.pmod(F.xxhash64("feature"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
+    return np.sort(listed.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
 
 
-def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+def _stars(source: DataFrame, described: DataFrame, sets_from, scratch: Scratch) -> DataFrame:
+    """(bucket, size, leader, member) of all buckets of more than one set."""
+    spark = source.sparkSession
+    common = spark.sparkContext.broadcast(_most_frequent(described, scratch))
+    dealt = source.mapInArrow(_deal(sets_from, common, even_keys(spark, partitions(spark))), "part long, blob binary")
+    return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, size long, leader long, member long"), "stars")
+
+
+def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that are linked."""
     spark = source.sparkSession
     tried = scratch.write(_open_pairs(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), classes), "open-1")
-    sets = scratch.write(_fetched(source, tried, shingle), "sets-1")
+    sets = scratch.write(_fetched(source, tried, classes, sets_from), "sets-1")
     release(spark)
     # each member with one leader first: that settles most buckets
     one = scratch.write(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-1")
@@ -464,16 +557,15 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int
     # then pairs across components in the buckets that still have several: the nearest of each member, which joins
     # nearly all that can be joined, and at last all that are left
     tested = one.unionAll(again)
+    buckets = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
     for turn, nearest in enumerate((True, True, False), 3):
-        rest = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
-        nodes = stars.join(rest, "bucket", "left_semi").select("bucket", F.explode(F.array("leader", "member")).alias("node")).distinct()
-        nodes = nodes.join(root, "node", "left").join(classes.select(F.col("handle").alias("node"), "n", "sketch"), "node")
-        nodes = nodes.select("bucket", "node", F.coalesce("root", "node").alias("root"), "n", "sketch")
-        pairs = nodes.groupBy("bucket").applyInArrow(_pairs_apart(nearest), "a long, b long").distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        found = _members(stars, buckets, root, classes).mapInArrow(_pairs_apart(nearest), "bucket long, a long, b long")
+        found = scratch.write(found, f"found-{turn}")
+        buckets = found.select("bucket").distinct()  # a bucket without such a pair will never have one
+        pairs = scratch.write(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
         if pairs.isEmpty():
             continue
-        sets = scratch.write(_fetched(source, pairs, shingle), f"sets-{turn}")
+        sets = scratch.write(_fetched(source, pairs, classes, sets_from), f"sets-{turn}")
         links = links.unionAll(scratch.write(_checked(pairs, sets), f"links-{turn}"))
         root = scratch.write(components(links, scratch, f"cc-{turn}"), f"roots-{turn}")
         tested = tested.unionAll(pairs)
@@ -483,20 +575,33 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, shingle: int
     return root
 
 
-def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, handle (of the set), component_id (the least id reachable by links)."""
+def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, handle_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, handle (of the set), component_id (the least id reachable by links).
+
+    ``handle_bits``: how many bits of a set's first hash are its handle; with few, more sets take the second (for tests).
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "partenum")
     source = _read(docs, doc_id, text)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    described = scratch.write(source.mapInArrow(_describe(shingle), f"doc_id {id_type}, n_shingles long, handle long, sketch binary, feature long, sets long"), "described")
-    rows = described.filter("n_shingles is not null").select("doc_id", "n_shingles", "handle")
-    classes = described.filter("n_shingles > 0").groupBy("handle").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    described = scratch.write(source.mapInArrow(_describe(shingle, handle_bits), f"doc_id {id_type}, n_shingles long, handle long, check long, digest long, sketch binary, feature long, sets long"), "described")
+    known = described.filter("n_shingles > 0")
+    # handles of different sets: with 64 bits and 10^10 sets about three are to be expected
+    twice = [r[0] for r in known.groupBy("handle").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("handle").collect()]
+    clashes = np.sort(np.array(twice, np.int64).view(np.uint64))
+    handle = F.when(F.col("handle").isin(twice), F.col("check")).otherwise(F.col("handle")) if twice else F.col("handle")
+    rows = described.filter("n_shingles is not null").select("doc_id", "n_shingles", handle.alias("handle"))
+    classes = known.withColumn("handle", handle).groupBy("handle")
+    classes = classes.agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.min("digest").alias("digest"))
     classes = scratch.write(classes, "classes")
-    stars = _stars(source, described, shingle, scratch)
+
+    def sets_from(column: pa.Array) -> Sets:
+        return sets_of(column, shingle, clashes, handle_bits)
+
+    stars = _stars(source, described, sets_from, scratch)
     release(spark)
-    root = _links(source, stars, classes, shingle, scratch)
+    root = _links(source, stars, classes, sets_from, scratch)
     scratch.drop("stars")
     release(spark)
 
@@ -531,3 +636,23 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
 
 def op1_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sets AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM (SELECT s.doc_id, n, g FROM shingles s JOIN sets USING (doc_id)) x JOIN (SELECT s.doc_id, n, g FROM shingles s JOIN sets USING (doc_id)) y
+    ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sets USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+"""

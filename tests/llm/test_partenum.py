@@ -91,14 +91,14 @@ def test_similar_sets_share_a_signature():
 def test_sketches_bound_the_difference():
     texts = [t for _, t in corpus(9) if features(t)]
     sets = partenum.sets_of(pa.array(texts, pa.string()))
-    sketch, raw = partenum.sketches(sets), [features(t) for t in texts]
-    draw = random.Random(1)
+    sketch, raw = partenum.Sketches(pa.array(partenum.sketches(sets), pa.binary())), [features(t) for t in texts]
+    draw = np.random.default_rng(1)
+    i, j = draw.integers(0, len(raw), (2, 4000))
+    bound = partenum.least_differences(sketch, i, sketch, j)
     apart = 0
-    for _ in range(4000):
-        i, j = draw.randrange(len(raw)), draw.randrange(len(raw))
-        bound = partenum.least_difference(sketch[i], sketch[j])
-        assert bound <= len(raw[i] ^ raw[j])
-        apart += 100 * len(raw[i] & raw[j]) < 75 * len(raw[i] | raw[j]) and bound > (len(raw[i]) + len(raw[j])) // 7
+    for a, b, least in zip(i.tolist(), j.tolist(), bound.tolist(), strict=True):
+        assert least <= len(raw[a] ^ raw[b])
+        apart += 100 * len(raw[a] & raw[b]) < 75 * len(raw[a] | raw[b]) and least > (len(raw[a]) + len(raw[b])) // 7
     assert apart > 3500
 
 
@@ -118,8 +118,21 @@ def test_join_equals_brute_force(spark):
     want = brute(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.join_classes(docs).collect()}
     assert got == want
-    kept = {r.doc_id for r in partenum.keep_one(docs).collect()}
-    assert kept == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.op1_partenum(spark, sf).collect()} == want
+
+
+def test_clashing_handles_and_blocks(spark, monkeypatch):
+    """Handles of six bits: nearly all are shared by different sets, which their second hashes hold apart."""
+    monkeypatch.setattr(partenum, "BLOCK", 4)  # on the driver, where blocks are dealt
+    texts = corpus(11)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.join_classes(docs, handle_bits=6).collect()}
+    assert got == brute(texts)
 
 
 def test_repeated_ids_and_empty_table(spark):
