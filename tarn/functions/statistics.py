@@ -43,24 +43,46 @@ def _empty(df: DataFrame, schema: str) -> DataFrame:
 
 
 def value_range(df: DataFrame) -> DataFrame:
-    """column_name, lower_bound, upper_bound (as doubles); strings have no range."""
+    """column_name, data_type, lower_int, upper_int (of whole numbers, else null), lower_real, upper_real (of reals, else null).
+
+    No bound is cast to a type that cannot hold it. Strings have no range.
+    """
     names = [c for c in _columns(df) if not _is_text(df, c)]
     if not names:
-        return _empty(df, "column_name string, lower_bound double, upper_bound double")
-    bounds = [x for i, c in enumerate(names) for x in (F.min(_quoted(c)).cast("double").alias(f"a{i}"), F.max(_quoted(c)).cast("double").alias(f"b{i}"))]
-    entries = [F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("lower_bound"), F.col(f"b{i}").alias("upper_bound")) for i, c in enumerate(names)]
-    return _unpivot(df.agg(*bounds), entries).filter("lower_bound is not null")
+        return _empty(df, "column_name string, data_type string, lower_int bigint, upper_int bigint, lower_real double, upper_real double")
+    bounds = [x for i, c in enumerate(names) for x in (F.min(_quoted(c)).alias(f"a{i}"), F.max(_quoted(c)).alias(f"b{i}"))]
+
+    def entry(i: int, name: str) -> Column:
+        real = isinstance(df.schema[name].dataType, T.FloatType | T.DoubleType)
+        held = lambda bound, kind: F.col(bound).cast(kind) if real == (kind == "double") else F.lit(None).cast(kind)
+        both = ((f"a{i}", "lower"), (f"b{i}", "upper"))
+        values = [held(bound, kind).alias(f"{end}_{short}") for kind, short in (("bigint", "int"), ("double", "real")) for bound, end in both]
+        return F.struct(F.lit(name).alias("column_name"), F.lit(df.schema[name].dataType.simpleString()).alias("data_type"), *values)
+
+    return _unpivot(df.agg(*bounds), [entry(i, c) for i, c in enumerate(names)]).filter("lower_int is not null or lower_real is not null")
 
 
-def cardinality(df: DataFrame) -> DataFrame:
-    """column_name, cardinality."""
-    return _distinct(df).select("column_name", "cardinality")
+def cardinality(df: DataFrame, exact: bool = False) -> DataFrame:
+    """column_name, cardinality. Counts beyond ``EXACT_DISTINCT`` are estimates (a relative deviation of ``RELATIVE_ERROR``), or with
+    ``exact`` counts too."""
+    return (_counted(df) if exact else _distinct(df)).select("column_name", "cardinality")
 
 
-def density(df: DataFrame) -> DataFrame:
+def density(df: DataFrame, exact: bool = False) -> DataFrame:
     """column_name, density: distinct values over rows, at most 1, in single precision."""
+    counts = _counted(df) if exact else _distinct(df)
     share = F.least(F.lit(1.0), F.col("cardinality") / F.col("rows")).cast("float")
-    return _distinct(df).select("column_name", share.alias("density"))
+    return counts.select("column_name", share.alias("density"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """column_name, cardinality, rows, all counted: one distinct over (column, value)."""
+    names = _columns(df)
+    if not names:
+        return _empty(df, "column_name string, cardinality bigint, rows bigint")
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("string").alias("v")) for c in names))).alias("p")).select("p.*")
+    counts = pairs.groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    return counts.groupBy("column_name").agg(F.count("v").alias("cardinality"), F.sum("n").alias("rows"))
 
 
 def _distinct(df: DataFrame) -> DataFrame:
@@ -116,8 +138,10 @@ def histogram(df: DataFrame, seed: int = 7) -> DataFrame:
         return _empty(df, schema)
     total = distinct[names[0]][1]
     sample = df.select(*map(_quoted, names))
-    if total > SAMPLE_ROWS:
-        sample = sample.orderBy(F.rand(seed)).limit(SAMPLE_ROWS)
+    if total > SAMPLE_ROWS:  # drawn once for all columns: a bounded number of rows, thinned before it is sorted
+        drawn = df.select(F.rand(seed).alias("__u"), *map(_quoted, names)).filter(F.col("__u") <= (1.2 * SAMPLE_ROWS + 100) / total)
+        drawn = drawn.orderBy("__u").limit(SAMPLE_ROWS).drop("__u")
+        sample = df.sparkSession.createDataFrame(drawn.collect(), drawn.schema)
     taken = min(total, SAMPLE_ROWS)
     depth = -(-taken // min(BUCKETS, taken))
 
@@ -131,9 +155,20 @@ def histogram(df: DataFrame, seed: int = 7) -> DataFrame:
     return reduce(DataFrame.unionByName, map(of, names))
 
 
-def profile(df: DataFrame) -> dict[str, list[dict]]:
-    """Column -> its statistics in the catalog's form. Physical order needs a file source, and is left out otherwise."""
-    out: dict[str, list[dict]] = {c: [] for c in _columns(df)}
+#: Tags of values in the catalog document. Fixed values of the format.
+TAGS: dict[type, str] = {T.IntegerType: "Int32", T.LongType: "Int64", T.FloatType: "Float32", T.DoubleType: "Float64", T.StringType: "String"}
+
+
+def profile(df: DataFrame) -> dict[str, list]:
+    """Column -> its statistics in the catalog's form, bounds tagged with their type. Physical order needs a file source, and is
+    left out otherwise."""
+    out: dict[str, list] = {c: [] for c in _columns(df)}
+
+    def tagged(name: str, value: object) -> dict:
+        kind = type(df.schema[name].dataType)
+        read = {T.IntegerType: int, T.LongType: int, T.StringType: str}.get(kind, float)
+        return {TAGS[kind]: read(value)}
+
     try:
         ordered = physical_order(df).filter("is_physically_ordered").collect()
     except Exception:  # no file behind the rows
@@ -141,12 +176,14 @@ def profile(df: DataFrame) -> dict[str, list[dict]]:
     for r in ordered:
         out[r["column_name"]].append("IsPhysicallyOrdered")
     for r in value_range(df).collect():
-        out[r["column_name"]].append({"RangeStat": {"lower_bound": r["lower_bound"], "upper_bound": r["upper_bound"]}})
+        c, kind = r["column_name"], "int" if r["lower_int"] is not None else "real"
+        out[c].append({"RangeStat": {f"{end}_bound": tagged(c, r[f"{end}_{kind}"]) for end in ("lower", "upper")}})
+    for r in _distinct(df).collect():
+        out[r["column_name"]] += [{"CardinalityStat": r["cardinality"]}, {"DensityStat": min(1.0, r["cardinality"] / r["rows"])}]
     points: dict[str, list] = {}
     for r in histogram(df).orderBy("column_name", "bucket").collect():
-        points.setdefault(r["column_name"], []).append([{"lower_bound": r["lower_bound"], "upper_bound": r["upper_bound"]}, r["frequency"]])
+        c = r["column_name"]
+        points.setdefault(c, []).append([{f"{end}_bound": tagged(c, r[f"{end}_bound"]) for end in ("lower", "upper")}, r["frequency"]])
     for c, buckets in points.items():
         out[c].append({"HistogramStat": {"frequency_points": buckets}})
-    for r in _distinct(df).collect():
-        out[r["column_name"]] += [{"CardinalityStat": r["cardinality"]}, {"DensityStat": min(1.0, r["cardinality"] / r["rows"])}]
     return out

@@ -9,7 +9,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,6 +44,16 @@ def decode_block(block: bytes, columns: list[str | None]) -> Iterator[tuple]:
         yield tuple(row)
 
 
+def decode_blocks(blocks: list[bytes], columns: list[str | None], names: list[str]) -> pd.DataFrame:
+    """The rows of some blocks: rows of numbers only have one width and are read as arrays, others a value at a time."""
+    if None in columns:
+        return pd.DataFrame([row for b in blocks for row in decode_block(b, columns)], columns=names)
+    record = np.dtype([(f"f{i}", code) for i, code in enumerate(columns)])
+    parts = [np.frombuffer(b, record, struct.unpack_from("<H", b, len(b) - 2)[0]) for b in blocks]
+    rows = np.concatenate(parts) if parts else np.zeros(0, record)
+    return pd.DataFrame(dict(zip(names, (rows[f"f{i}"] for i in range(len(columns))), strict=True)), columns=names)
+
+
 def encode_row(row: tuple, columns: list[str | None]) -> bytes:
     parts = []
     for value, code in zip(row, columns, strict=True):
@@ -64,7 +76,7 @@ def read_row_blocks(spark: SparkSession, path: str, schema: T.StructType, block_
 
     def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
-            yield pd.DataFrame([row for b in batch["block"] for row in decode_block(bytes(b), columns)], columns=names)
+            yield decode_blocks([bytes(b) for b in batch["block"]], columns, names)
 
     return blocks.mapInPandas(decode, schema)
 
@@ -109,3 +121,32 @@ def write_row_blocks(df: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -
     finally:
         out.close()
     return count
+
+
+def write_row_block_parts(df: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> int:
+    """A file for each partition, written by the executors (to any file system that Arrow opens); gives the number of blocks.
+
+    A task writes under its attempt's name and renames at its end, so a repeated task replaces its file whole.
+    ``folder`` is read back like a file.
+    """
+
+    def write(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        own = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(base)
+        part, n = f"{base}/part-{own.partitionId():05d}.bin", 0
+        held = f"{base}/_{own.partitionId():05d}-{own.taskAttemptId()}"
+        with system.open_output_stream(held) as out:
+            for batch in stream:
+                for block in batch["block"]:
+                    out.write(bytes(block))
+                    n += 1
+        if n:
+            system.move(held, part)
+        else:
+            system.delete_file(held)
+        yield pd.DataFrame({"blocks": [n]})
+
+    return pack_row_blocks(df, block_bytes).mapInPandas(write, "blocks long").groupBy().sum("blocks").first()[0] or 0

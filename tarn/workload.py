@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cardinality, density, format_rows, histogram, physical_order, value_range
+from .functions.disk_cost import request_times, run_totals
 from .operators import Engine
-from .plans import ColumnRef, Plan, from_json, scan, to_json
-from .sources import pack_row_blocks, parquet_folder
-from .sources.rowblock import codes, decode_block
+from .plans import ColumnRef, Literal, Plan, from_json, scan, to_json
+from .sources import pack_row_blocks, parquet_folder, read_delimited, read_row_blocks, write_row_block_parts
+from .sources.delimited import parse_schema
+from .sources.rowblock import codes, decode_blocks
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 col = ColumnRef
@@ -143,7 +147,6 @@ def _json_demo(spark: SparkSession, folder: str) -> DataFrame:
     return Engine(parquet_folder(spark, folder, TABLES)).run(to_json(from_json(to_json(plan, pretty=True))))
 
 
-_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
 _ALL = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _ORDERED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -162,14 +165,74 @@ def _row_blocks(spark: SparkSession, folder: str) -> DataFrame:
     columns, names, schema = codes(suppliers.schema), suppliers.columns, suppliers.schema
 
     def decode(stream):
-        import pandas as pd
-
         for batch in stream:
-            yield pd.DataFrame([r for b in batch["block"] for r in decode_block(bytes(b), columns)], columns=names)
+            yield decode_blocks([bytes(b) for b in batch["block"]], columns, names)
 
     return pack_row_blocks(suppliers).mapInPandas(decode, schema)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tarn-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _supplier(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/supplier.parquet")
+
+
+def _delimited(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as text files, read back by a declared schema."""
+    path = _folder(spark, "delimited")
+    format_rows(_supplier(spark, folder)).write.text(path)
+    return read_delimited(spark, path, parse_schema("s_suppkey|s_name|s_nationkey|s_acctbal|\nI64|STRING|I32|FLOAT64|\n"))
+
+
+def _row_block_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as row-block files, one a partition, read back."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    path = _folder(spark, "blocks")
+    write_row_block_parts(lines, path)
+    return read_row_blocks(spark, path, lines.schema)
+
+
+def _disk_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals of a trace made of lines: a device a supplier, requests by order."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    trace = lines.filter("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("device"), F.col("l_orderkey").alias("seq")).agg(F.max("l_partkey").alias("part"), F.max(F.col("l_quantity").cast("bigint")).alias("num_blocks"))
+    trace = trace.select("device", "seq", (F.col("part") * 97).alias("start_block"), "num_blocks")
+    return run_totals(request_times(trace), F.col("seq") % 5 == 0)
+
+
+_DISK_SQL = """
+with t as (select l_suppkey as device, l_orderkey as seq, max(l_partkey) * 97 as s, max(l_quantity::bigint) as n from lineitem where l_linenumber = 1 group by all),
+r as (select *, coalesce(lag(s + n - 1) over (partition by device order by seq), 0) as before from t where n > 0),
+c as (select *, abs(s // 4096 - before // 4096) as d, (s + n - 1) // 4096 - s // 4096 as x from r),
+k as (select *, round((case when d = 0 then 0 when d = 1 then 0.8::double else 0.8::double + (18.0::double - 0.8::double) * sqrt(least(1.0::double, d / 500000)) end + x * 0.8::double) * 1000000)::bigint as seek,
+  round(case when s = before + 1 then 0 else 0.5::double * 60000 / 7200 end * 1000000)::bigint as turn, round(n * 4096 / 1000000 / 150 * 1000 * 1000000)::bigint as move from c)
+select count(*) filter (seq % 5 <> 0) as total_reads, count(*) filter (seq % 5 = 0) as total_writes, sum(n)::bigint as total_blocks_processed, sum(d + x)::bigint as total_cylinders_traveled,
+  (sum(seek + turn + move) // 1000)::bigint as total_io_time_us, (sum(seek) // 1000)::bigint as total_seek_time_us, (sum(turn) // 1000)::bigint as total_rotational_latency_us, (sum(move) // 1000)::bigint as total_transfer_time_us from k"""
+
+#: Rows (i, f, x, y) with NaN and values that 32 bits cannot hold, and the same in SQL.
+_REALS = [(1, 0.1, 1.0, 2.0), (2, 0.5, float("nan"), 1.0), (3, 0.25, 1.0, float("nan")), (4, float("nan"), float("nan"), float("nan")), (5, -0.0, 0.0, -0.0), (6, float("inf"), float("inf"), 1e300)]
+_REALS_SQL = "(values (1, 0.1::float, 1.0::double, 2.0::double), (2, 0.5, 'nan', 1.0), (3, 0.25, 1.0, 'nan'), (4, 'nan', 'nan', 'nan'), (5, -0.0, 0.0, -0.0), (6, 'inf', 'inf', 1e300)) t(i, f, x, y)"
+
+
+def _reals(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, _: Engine({"reals": spark.createDataFrame(_REALS, "i int, f float, x double, y double")}).run(plan)
+
+
+def _wide_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of 64-bit keys that no double holds."""
+    keys = spark.read.parquet(f"{folder}/orders.parquet").select((F.col("o_orderkey") + F.lit((1 << 62) + 1)).alias("key"), "o_totalprice", F.col("o_custkey").cast("int").alias("cust"))
+    return value_range(keys)
+
+
+_JOIN_JSON = """{"root": {"Project": {"column_name_map": [["o_orderkey", "o_orderkey"], ["c_name", "name"]], "underlying": {"HashJoin": {"left": {"Scan": {"table_id": "customer"}}, "right": {"Scan": {"table_id": "orders"}}, "left_join_col": "c_custkey", "right_join_col": "o_custkey"}}}}}"""
+
+
 _UNION = " union all ".join
 _BUCKETED = """(with r as (select {c} v, row_number() over (order by {c}) - 1 p, count(*) over () n from supplier)
 select '{c}' column_name, (p // d)::int bucket, {a} lower_bound, {b} upper_bound, floor(count(*) * any_value(n) / any_value(n))::bigint frequency
@@ -183,7 +246,34 @@ def _histogram_oracle() -> str:
 
 FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "json_plan": (_json_demo, "select n_name, s_suppkey, s_acctbal from nation, supplier where n_nationkey = s_nationkey and s_acctbal >= 0"),
-    "stats_range": (lambda s, d: value_range(_customer(s, d)), _UNION(f"select '{c}' column_name, min({c})::double lower_bound, max({c})::double upper_bound from customer" for c in _NUMBERS)),
+    "json_hash_join": (lambda s, d: Engine(parquet_folder(s, d, TABLES)).run(_JOIN_JSON), "select o_orderkey, c_name as name from customer join orders on c_custkey = o_custkey"),
+    "duplicate_names": (
+        lambda s, d: Engine(parquet_folder(s, d, TABLES)).run(scan("nation").cross(scan("region").project(("r_regionkey", "n_nationkey"), "r_name")).filter("n_nationkey", "GTE", 20).project("n_nationkey", "r_name")),
+        "select n_nationkey, r_name from nation, region where n_nationkey >= 20",
+    ),
+    "nan_less": (_reals(scan("reals").filter("x", "LT", col("y")).project("i")), f"select i from {_REALS_SQL} where x < y and not isnan(x) and not isnan(y)"),
+    "nan_not_equal": (_reals(scan("reals").filter("x", "NE", col("y")).project("i")), f"select i from {_REALS_SQL} where x <> y or isnan(x) or isnan(y)"),
+    "nan_greater_literal": (_reals(scan("reals").filter("x", "GTE", 0.0).project("i")), f"select i from {_REALS_SQL} where x >= 0 and not isnan(x)"),
+    "f32_literal": (_reals(scan("reals").filter("f", "EQ", Literal("F32", 0.1)).project("i")), f"select i from {_REALS_SQL} where f = 0.1::float"),
+    "f32_literal_on_f64": (_reals(scan("reals").filter("y", "LT", Literal("F32", 1.1)).project("i")), f"select i from {_REALS_SQL} where y < 1.1::float::double and not isnan(y)"),
+    "stats_range": (
+        lambda s, d: value_range(_customer(s, d)).filter("lower_int is not null").select("column_name", "data_type", "lower_int", "upper_int"),
+        _UNION(f"select '{c}' column_name, '{k}' data_type, min({c})::bigint lower_int, max({c})::bigint upper_int from customer" for c, k in (("c_custkey", "bigint"), ("c_nationkey", "int"))),
+    ),
+    "stats_range_reals": (
+        lambda s, d: value_range(_customer(s, d)).filter("lower_real is not null").select("column_name", "data_type", "lower_real", "upper_real"),
+        "select 'c_acctbal' column_name, 'double' data_type, min(c_acctbal) lower_real, max(c_acctbal) upper_real from customer",
+    ),
+    "stats_range_wide": (
+        lambda s, d: _wide_keys(s, d).filter("lower_int is not null").select("column_name", "data_type", "lower_int", "upper_int"),
+        "select 'key' column_name, 'bigint' data_type, min(o_orderkey) + 4611686018427387905 lower_int, max(o_orderkey) + 4611686018427387905 upper_int from orders"
+        " union all select 'cust', 'int', min(o_custkey)::bigint, max(o_custkey)::bigint from orders",
+    ),
+    "stats_exact_cardinality": (
+        lambda s, d: cardinality(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus"), exact=True),
+        _UNION(f"select '{c}' column_name, count(distinct {c}) as cardinality from orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")),
+    ),
+    "disk_run_totals": (_disk_run, _DISK_SQL),
     "stats_cardinality": (lambda s, d: cardinality(_customer(s, d)), _UNION(f"select '{c}' column_name, count(distinct {c}) as cardinality from customer" for c in _ALL)),
     "stats_density": (lambda s, d: density(_customer(s, d)).withColumn("density", F.round(F.col("density").cast("double"), 5)), _UNION(f"select '{c}' column_name, round(least(1.0, count(distinct {c}) / count(*))::float::double, 5) density from customer" for c in _ALL)),
     "stats_order": (
@@ -191,6 +281,12 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _UNION(f"select '{c}' column_name, not coalesce(bool_or({c} < prev), false) is_physically_ordered from (select {c}, lag({c}) over (order by rn) prev from (select {c}, row_number() over () rn from orders))" for c in _ORDERED),
     ),
     "stats_histogram": (lambda s, d: histogram(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey")), _histogram_oracle()),
+    "text_reals": (
+        lambda s, d: format_rows(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")),
+        "select l_orderkey || '|' || l_quantity || '|' || l_extendedprice || '|' || l_returnflag || '|' as line from lineitem",
+    ),
+    "delimited_text": (_delimited, "select * from supplier"),
+    "row_block_files": (_row_block_files, "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem"),
     "text_sink": (_text, "select n_nationkey || '|' || n_name || '|' || n_regionkey || '|' as line from nation"),
     "row_blocks": (_row_blocks, "select * from supplier"),
 }

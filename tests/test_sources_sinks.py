@@ -11,7 +11,7 @@ from tarn.harness import QueryCase, run_cases, same_lines
 from tarn.operators import Engine
 from tarn.plans import scan
 from tarn.sinks import result_lines, write_catalog, write_sqlite, write_text
-from tarn.sources import Catalog, discover, read_delimited, read_row_blocks, write_row_blocks
+from tarn.sources import Catalog, discover, read_delimited, read_row_blocks, write_row_block_parts, write_row_blocks
 from tarn.sources.delimited import parse_schema
 from tarn.streaming import run_on_batches, run_stream
 
@@ -84,15 +84,56 @@ def test_catalog_round_trip(spark):
     assert rows(Engine(opened).run(scan("t"))) == [(5, "t")]
 
 
+DOCUMENT = """{"table_specs": [{"name": "t", "file_id": "f", "column_specs": [
+{"column_name": "i", "data_type": "Int64", "stats": ["IsPhysicallyOrdered", {"RangeStat": {"lower_bound": {"Int64": 4611686018427387905}, "upper_bound": {"Int64": 4611686018427387907}}},
+ {"CardinalityStat": 2}, {"DensityStat": 1.0}, {"HistogramStat": {"frequency_points": [[{"lower_bound": {"Int64": 4611686018427387905}, "upper_bound": {"Int64": 4611686018427387905}}, 1],
+ [{"lower_bound": {"Int64": 4611686018427387907}, "upper_bound": {"Int64": 4611686018427387907}}, 1]]}}]},
+{"column_name": "s", "data_type": "String", "stats": null}]}]}"""
+
+
+def test_catalog_statistics_in_the_tagged_form(spark, tmp_path):
+    low, high = 4611686018427387905, 4611686018427387907
+    want = {"IsPhysicallyOrdered": True, "RangeStat": (low, high), "CardinalityStat": 2, "DensityStat": 1.0, "HistogramStat": [(low, low, 1), (high, high, 1)]}
+    assert Catalog.from_json(DOCUMENT, lambda *_: None).statistics == {"f": {"i": want, "s": {}}}
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(low, "a", 0.1), (high, "a", 0.5)], "i long, s string, x float").coalesce(1).write.parquet(path)
+    text = write_catalog({"f": spark.read.parquet(path)})
+    stats = Catalog.from_json(text, lambda *_: None).statistics["f"]
+    assert stats["i"] == want
+    assert stats["s"]["HistogramStat"] == [("a", "a", 1), ("a", "a", 1)] and "RangeStat" not in stats["s"]
+    assert json.loads(text)["table_specs"][0]["column_specs"][0]["stats"] == json.loads(DOCUMENT)["table_specs"][0]["column_specs"][0]["stats"]
+    assert [round(v, 6) for v in stats["x"]["RangeStat"]] == [0.1, 0.5]
+    with pytest.raises(ValueError):
+        Catalog.from_json(DOCUMENT.replace("CardinalityStat", "OtherStat"), lambda *_: None)
+    with pytest.raises(ValueError):
+        Catalog.from_json(DOCUMENT.replace('"Int64": 46', '"Int16": 46'), lambda *_: None)
+
+
+def test_row_block_parts(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "cast(id as int) i", "id / 3 d", "cast(id / 7 as float) f").repartition(3)
+    folder = str(tmp_path / "blocks")
+    n = write_row_block_parts(df, folder)
+    files = sorted(p.name for p in (tmp_path / "blocks").iterdir())
+    assert files == [f"part-0000{k}.bin" for k in range(3)] and sum((tmp_path / "blocks" / f).stat().st_size for f in files) == 4096 * n
+    assert rows(read_row_blocks(spark, folder, df.schema)) == rows(df)
+    texts = df.selectExpr("id", "concat('é ', id) s")
+    write_row_block_parts(texts, str(tmp_path / "texts"))
+    assert rows(read_row_blocks(spark, str(tmp_path / "texts"), texts.schema)) == rows(texts)
+    assert write_row_block_parts(df.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_statistics_by_hand(spark):
     df = spark.createDataFrame([(3, "a", 1.0), (1, "a", 1.0), (2, "b", 5.0), (2, "b", 5.0)], "i int, s string, d double")
-    assert rows(value_range(df)) == [("d", 1.0, 5.0), ("i", 1.0, 3.0)]
+    assert rows(value_range(df)) == [("d", "double", None, None, 1.0, 5.0), ("i", "int", 1, 3, None, None)]
     assert rows(cardinality(df)) == [("d", 2), ("i", 3), ("s", 2)]
     assert rows(density(df)) == [("d", 0.5), ("i", 0.75), ("s", 0.5)]
     assert rows(histogram(df.select("i"))) == [("i", 0, "1", "1", 1), ("i", 1, "2", "2", 1), ("i", 2, "2", "2", 1), ("i", 3, "3", "3", 1)]
     assert set(profile(df)) == {"i", "s", "d"}
+    assert rows(cardinality(df, exact=True)) == rows(cardinality(df)) and rows(density(df, exact=True)) == rows(density(df))
     empty = df.limit(0)
     assert not any(f(empty).count() for f in (value_range, cardinality, density, histogram))
+    wide = spark.createDataFrame([((1 << 62) + 1, 0.1)], "k long, f float")
+    assert rows(value_range(wide.select("k"))) == [("k", "bigint", (1 << 62) + 1, (1 << 62) + 1, None, None)]
 
 
 def test_large_columns(spark):
