@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .ann import op5_multiprobe
 from .bpe import op4_byte_bpe
-from .decontaminate import op6_decontaminate
+from .decontaminate import OP6_SQL, op6_decontaminate
 from .langid import op7_language
 from .lines import OP10_SQL, op10_line_dedup
 from .ngram_lm import op9_deleted_interpolation
-from .partenum import op1_partenum
+from .partenum import OP1_SQL, op1_partenum
 from .quality import op3_rule_ensemble
 from .shards import op8_sampled_splitters
-from .substrings import op2_suffix_trees
+from .substrings import OP2_SQL, op2_suffix_trees
 
 QUERIES = {
     "op1_partenum": op1_partenum,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_partenum": OP1_SQL, "op2_suffix_trees": OP2_SQL, "op6_decontaminate": OP6_SQL, "op10_line_dedup": OP10_SQL}
