@@ -14,9 +14,7 @@ def brute(ids, x, queries, k=20):
     return out
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_recall_of_the_query(spark, sf):
-    path = f"/root/testdata/{sf}"
+def recall_of(spark, path):
     rows = spark.read.parquet(f"{path}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     want = brute(ids, x, ids[ids % 20 == 0].tolist())
@@ -27,23 +25,54 @@ def test_recall_of_the_query(spark, sf):
     hits = total = 0
     for i, true in want.items():
         mine = sorted(got[i])
-        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
+        assert [m[0] for m in mine] == list(range(1, len(true) + 1))
         assert [(-m[2], m[1]) for m in mine] == sorted((-m[2], m[1]) for m in mine)
         exact = dict(zip(ids.tolist(), (x * x[ids == i][0]).sum(axis=1).tolist(), strict=True))
         assert all(np.isclose(m[2], exact[m[1]], rtol=1e-12) for m in mine)
         hits += len({m[1] for m in mine} & {t[0] for t in true})
         total += len(true)
-    assert hits / total >= 0.9
+    return hits / total
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_query(spark, sf):
+    assert recall_of(spark, f"/root/testdata/{sf}") >= 0.9
+
 
+def test_recall_beyond_the_sample_with_salted_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "CELL_ROWS", 5)
+    assert recall_of(spark, "/root/testdata/sf0.1") >= 0.9
 
-def test_probes_are_in_order_of_cost():
+
+def test_perturbations_are_sets_of_projections_in_order_of_cost():
+    sets = ann.perturbations(4, 1000)
+    assert len(sets) == 3**4 == len({tuple(s) for s in sets.tolist()}) and not sets[0].any()
+    assert (sets + sets[:, ::-1] <= 1).all()
+    m = 4
+    cost = [j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)]
+    total = sets @ np.array(cost)
+    assert (np.diff(total) >= -1e-12).all()
+
+
+def test_a_query_visits_its_own_cell_first_and_each_cell_once():
     draw = np.random.default_rng(0)
-    h = ann.Hashes.of(8, 2.0, 40)
+    h = ann.Hashes.of(8, 2.0, 6, 40)
     q = draw.standard_normal((5, 8))
     visited = h.visit(q)
     own = h.index(q / np.linalg.norm(q, axis=1, keepdims=True) * 2.0)
-    for v, o in zip(visited, own, strict=True):
-        assert (v[:, 0] == o).all() and all(len(set(row)) == 40 for row in v.tolist())
+    assert (visited[:, :, 0] == own).all()
+    assert all(len(set(cells)) == 40 for row in visited.tolist() for cells in row)
+
+
+@pytest.mark.parametrize("length", [4, 64])
+def test_few_candidates_all_come_back(spark, length):
+    draw = np.random.default_rng(length)
+    rows = [(i, draw.standard_normal(length).tolist()) for i in range(12)]
+    found = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert found == {i: set(range(12)) - {i} for i in range(12)}
 
 
 def test_edge_cases_and_ties(spark):
