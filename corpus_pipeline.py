@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of
 ``documents``; ``n_chars`` is brought up to date where a stage changes texts.
+
+Defined cases: a null or empty text, or one without letters, has no language and goes in the first stage; null ids, languages and
+sources are kept as they are; every row counts, and repeated ids or texts are told apart as rows, so of equal texts one
+row stays (the least id, nulls last; then the least hash of the text, then the first) whatever ids they have; texts that lose all
+their lines or words stay as empty texts; empty tables go through all stages as empty tables; columns beyond those of ``documents``
+stay too, whatever their names.
 """
 
 from __future__ import annotations
