@@ -221,7 +221,12 @@ def fit(values: np.ndarray, label: np.ndarray) -> RuleEnsemble:
 def train(described: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = FIT_ROWS) -> RuleEnsemble:
     """Fit on at most ``rows`` labelled rows of ``described`` (a bounded sample; the least hashes of the id)."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
-    drawn = described.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS).limit(rows)
+    labelled = described.join(known, "doc_id")
+    n = labelled.count()
+    # thinned before it is sorted, for an ordered limit sends so many rows of each partition to the driver
+    spread = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    thin = labelled.withColumn("u", spread).filter(F.col("u") <= (1.2 * rows + 100) / max(n, 1))
+    drawn = thin.orderBy("u", "doc_id", "label", *STATISTICS).limit(rows)
     got = drawn.select("label", *STATISTICS).toPandas()
     return fit(got[list(STATISTICS)].to_numpy(float), got["label"].to_numpy(float))
 
