@@ -1,9 +1,10 @@
 """Sharding by sampled splitters. DataFrame operations only.
 
 A size-weighted sample of the records' keys gives quantile boundaries; records are dealt to the ranges
-between them. A key that fills more than a range, or any range that proves overfull, is subdivided
-by a second hash. Exact sums over ranges then give every record its place in one global order, and
-shard s takes what begins in the s-th of equal stretches of bytes (law ``bytes``).
+between them. A key that fills more than a range gets one of its own. A range that proves overfull is subdivided: by a second
+hash of the key, so that equal texts stay together, or where it holds a single key by a hash of id and row. Exact sums over
+ranges then give every record its place in one global order, and shard s takes what begins in the s-th of equal
+stretches of bytes (law ``bytes``).
 
 The key is a hash of the text, so equal texts stand together; such a group is cut between shards only
 when it is larger than the largest single record. Shard sizes differ from the mean by that size at most.
@@ -66,6 +67,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc
             F.crc32(whole.cast("binary")).alias("text_crc32"),
             F.xxhash64(whole).alias("key"),
             F.xxhash64(F.lit("tie"), F.col(doc_id)).alias("tie"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "keyed",
     )
@@ -76,20 +78,25 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc
 
     # overfull ranges: as many parts as they hold planned sizes; at most about as many in all as there are ranges
     planned = max(1, total // ranges)
-    parts = dealt.groupBy("range").agg(F.sum("size").alias("bytes"))
-    parts = parts.select("range", F.when(F.col("bytes") > OVERFULL * planned, F.ceil(F.col("bytes") / planned)).otherwise(1).cast("int").alias("parts"))
-    dealt = dealt.join(F.broadcast(parts), "range").withColumn("part", F.when(F.col("parts") > 1, F.pmod("tie", "parts")).otherwise(0).cast("int"))
+    parts = dealt.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("single"))
+    parts = parts.select("range", "single", F.when(F.col("bytes") > OVERFULL * planned, F.ceil(F.col("bytes") / planned)).otherwise(1).cast("int").alias("parts"))
+    second = F.when(F.col("single"), F.xxhash64("tie", "row")).otherwise(F.xxhash64(F.lit("part"), "key"))
+    dealt = dealt.join(F.broadcast(parts), "range").withColumn("part", F.when(F.col("parts") > 1, F.pmod(second, F.col("parts"))).otherwise(0).cast("int"))
 
     # exact sums: one row for each part of a range, a number bounded by MOST_RANGES
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before, whole = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range")
     offsets = dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    offsets = offsets.select("range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
-    inside = Window.partitionBy("range", "part").orderBy("key", "tie", "doc_id", "size")
+    offsets = offsets.withColumn("bytes_before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    offsets = offsets.select("range", "part", "bytes_before", "rows_before", F.sum("bytes").over(whole).alias("range_bytes"), F.min("bytes_before").over(whole).alias("range_before"))
+    inside = Window.partitionBy("range", "part").orderBy("key", "tie", "row")
     group = Window.partitionBy("range", "part", "key")
     placed = dealt.join(F.broadcast(offsets), ["range", "part"])
     placed = placed.withColumn("rank", F.col("rows_before") + F.row_number().over(inside) - 1)
     placed = placed.withColumn("at", F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    begins = F.when(F.sum("size").over(group) <= largest, F.min("at").over(group)).otherwise(F.col("at"))
+    # a group of equal texts begins where its first record does: in a range of its own over all its parts
+    own = F.col("single") & (F.col("parts") > 1)
+    small = F.when(own, F.col("range_bytes")).otherwise(F.sum("size").over(group)) <= largest
+    begins = F.when(small, F.when(own, F.col("range_before")).otherwise(F.min("at").over(group))).otherwise(F.col("at"))
     placed = placed.withColumn("shard", F.floor(begins * shards / F.lit(max(total, 1))).cast("int"))
     placed = scratch.write(placed.select("doc_id", "size", "text_crc32", "shard", "rank"), "placed")
     scratch.drop("keyed", "dealt")

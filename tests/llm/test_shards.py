@@ -34,6 +34,19 @@ def test_hot_group_is_subdivided(spark):
     assert max(sizes) < 1.02 * min(sizes)
 
 
+def test_hot_group_of_one_id_is_subdivided(spark):
+    sizes = run(spark, [(7 if i % 2 else None, "the same text") for i in range(4000)])
+    assert max(sizes) < 1.02 * min(sizes)
+
+
+def test_hot_group_smaller_than_the_largest_record_is_not_cut(spark):
+    texts = [(0, "x" * 300_000), *((i, "the same text") for i in range(1, 15_000)), *((i, f"text {i}") for i in range(15_000, 20_000))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = shards.shard_documents(docs).collect()
+    check(rows, texts)
+    assert len({r.shard for r in rows if 0 < r.doc_id < 15_000}) == 1
+
+
 def test_equal_texts_stay_together(spark):
     texts = [(i, f"text {i // 2} " + "x" * (i // 2 % 50)) for i in range(3000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
