@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,24 +27,32 @@ def format_value(value: object, single: bool = False) -> str:
     return str(value)
 
 
+def format_reals(column: pa.Array) -> pa.Array:
+    """The text of a column of reals. Arrow gives the fewest digits; only what it writes with an exponent, NaN and infinity are
+    written value by value."""
+    text, single = pc.cast(column, pa.string()), pa.types.is_float32(column.type)
+    odd = pc.fill_null(pc.match_substring_regex(text, "[a-z]"), False)
+    text = pc.if_else(pc.match_substring(text, "."), text, pc.binary_join_element_wise(text, pa.scalar(".0"), ""))
+    text = pc.fill_null(text, "")
+    if pc.any(odd).as_py():
+        text = pc.replace_with_mask(text, odd, pa.array([format_value(x, single) for x in column.filter(odd).to_pylist()], pa.string()))
+    return text
+
+
 def format_rows(df: DataFrame) -> DataFrame:
     """A column ``line`` with the rows' text, in order."""
     kinds = [f.dataType for f in df.schema]
     names = [f"v{i}" for i in range(len(kinds))]
-    # strings and whole numbers are cast by Spark; only reals need Python
+    # strings and whole numbers are cast by Spark; reals, whose text there is not always the shortest, by Arrow
     reals = [isinstance(k, T.FloatType | T.DoubleType) for k in kinds]
-    plain = df.toDF(*names)
+    plain = df.toDF(*names).select(*(F.col(n) if r else F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n, r in zip(names, reals, strict=True)))
     if not any(reals):
-        return plain.select(F.concat(*(x for n in names for x in (F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit("|")))).alias("line") if names else F.lit("").alias("line"))
-    plain = plain.select(*(F.struct(n).alias(n) if r else F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n, r in zip(names, reals, strict=True)))
-    single = [isinstance(k, T.FloatType) for k in kinds]
+        return plain.select(F.concat(*(x for n in names for x in (F.col(n), F.lit("|")))).alias("line") if names else F.lit("").alias("line"))
 
-    def lines(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = []
-            for n, real, s in zip(names, reals, single, strict=True):
-                # reals come inside structs, so that null and NaN stay apart
-                texts.append([format_value(x[n] if isinstance(x, dict) else x[0], s) for x in batch[n]] if real else batch[n])
-            yield pd.DataFrame({"line": ["".join(f"{v}|" for v in row) for row in zip(*texts, strict=True)]})
+            texts = [format_reals(c) if r else c.cast(pa.string()) for c, r in zip(batch.columns, reals, strict=True)]
+            line = pc.binary_join_element_wise(*texts, "", "|")  # an empty last one: each value is followed by a bar
+            yield pa.RecordBatch.from_arrays([line], ["line"])
 
-    return plain.mapInPandas(lines, "line string")
+    return plain.mapInArrow(lines, "line string")

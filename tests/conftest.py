@@ -1,9 +1,24 @@
 import os
+import signal
 
 import pytest
 from pyspark.sql import SparkSession
 
 os.environ.setdefault("TZ", "UTC")
+#: Seconds after which a test that does not end fails.
+LIMIT = 900
+
+
+@pytest.fixture(autouse=True)
+def time_limit():
+    def stop(*_):
+        raise TimeoutError(f"not ended after {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
 
 
 @pytest.fixture(scope="session")

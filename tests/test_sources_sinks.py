@@ -3,9 +3,14 @@ import json
 import math
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tarn.functions import format_value, histogram, physical_order, profile
+from tarn.functions.formatting import format_reals
 from tarn.functions.statistics import SAMPLE_ROWS, cardinality, density, value_range
 from tarn.harness import QueryCase, run_cases, same_lines
 from tarn.operators import Engine
@@ -59,6 +64,14 @@ def test_value_text():
     assert format_value(math.nan) == "NaN.0" and format_value(float(np.float32(0.1)), single=True) == "0.1"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(), st.floats(width=32), st.floats(-1e6, 1e6), st.integers(-(10**9), 10**9).map(float)), max_size=8))
+def test_columns_of_reals_equal_single_values(values):
+    assert format_reals(pa.array(values, pa.float64())).to_pylist() == [format_value(v) for v in values]
+    single = pa.array(np.array([0.0 if v is None else v for v in values], np.float64).astype(np.float32))
+    assert format_reals(single).to_pylist() == [format_value(v, True) for v in single.to_pylist()]
+
+
 def test_result_stream(spark):
     df = spark.createDataFrame([(1, "abc", 2.5, 0.1), (2, "", math.nan, 1e10)], "i int, s string, d double, f float").coalesce(1).orderBy("i")
     out = io.StringIO()
