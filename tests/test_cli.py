@@ -20,3 +20,5 @@ def test_compile_and_query(spark, tmp_path, capsys):
         assert sorted(db.execute("SELECT * FROM t")) == [(1, "a", 1.0), (2, "b", 0.5)]
     catalog = Catalog.from_json((out / "catalog.json").read_text(), lambda t, schema: read_row_blocks(spark, str(out / f"{t}.bin"), schema))
     assert sorted(map(tuple, catalog["t"].collect())) == [(1, "a", 1.0), (2, "b", 0.5)]
+    assert main(["query", str(query), "--config", str(out / "catalog.json")]) == 0
+    assert capsys.readouterr().out == "1.0|a|\n0.5|b|\n!\n"
