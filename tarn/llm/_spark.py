@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker is handed at once.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Bytes of input (as its files have them) in a hash bucket, at most about: a task holds a bucket's texts.
+BUCKET_BYTES = 128 << 20
+#: Spark's bound on the buckets of a table, and the size from which on an estimate says that the size is not known.
+MOST_BUCKETS, UNKNOWN_BYTES = 100_000, 1 << 52
+MOST_EVEN = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is (local tests)."""
+    """The folder that driver and executors share; one is set only where none is and all run on one machine (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tarn-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,6 +39,30 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+#: What the operators that run just now have written, for ``tidy``.
+_WRITTEN: list = []
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator that fails leaves no tables and folders behind (what it returns stays: its frames read it)."""
+
+    @functools.wraps(operator)
+    def inner(*args, **kwargs):
+        mark = len(_WRITTEN)
+        try:
+            return operator(*args, **kwargs)
+        except BaseException:
+            for held in _WRITTEN[mark:]:
+                with contextlib.suppress(Exception):  # the first error is the one to tell
+                    held.discard()
+            raise
+        finally:
+            if not mark:
+                _WRITTEN.clear()
+
+    return inner
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors.
 
@@ -39,6 +71,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path = spark, f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+        _WRITTEN.append(self)
+
+    def discard(self) -> None:
+        self.drop_path(self.spark, self.path)
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         target = f"{self.path}/{name}"
@@ -62,8 +98,11 @@ class Scratch:
 def even_keys(spark: SparkSession, n: int) -> list[int]:
     """n integers that Spark's hash partitioning deals to n partitions, one to each.
 
-    Groups named 0, 1, 2, ... would leave a third of the partitions empty and give others two or three.
+    Groups named 0, 1, 2, ... would leave a third of the partitions empty and give others two or three. (Beyond
+    ``MOST_EVEN`` they are named so: there are more of them than partitions then.)
     """
+    if n > MOST_EVEN:
+        return list(range(n))
     found: dict[int, int] = {}
     begin, step = 0, 16 * n + 64
     while len(found) < n:
@@ -75,7 +114,7 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 class Bucketed:
-    """Rows in hash buckets (column ``bucket``), written once as a table of the shared folder.
+    """Rows in hash buckets (column ``bucket``), written once as a table of the shared folder, a file a bucket.
 
     ``groupBy("bucket")`` on ``frame`` reads them in place, however often, without a shuffle.
     """
@@ -84,10 +123,18 @@ class Bucketed:
         self.spark = source.sparkSession
         self.name = f"tarn_buckets_{uuid.uuid4().hex}"
         self.path = f"{shared_folder(self.spark)}/{self.name}"
-        place = F.pmod(F.xxhash64(*by), F.lit(len(keys))).cast("int")
-        source = source.withColumn("bucket", F.get(F.array(*(F.lit(k).cast("bigint") for k in keys)), place))
-        source.write.bucketBy(len(keys), "bucket").option("path", self.path).saveAsTable(self.name)
+        _WRITTEN.append(self)
+        place = F.pmod(F.xxhash64(*by), F.lit(len(keys)))
+        named = place if len(keys) > MOST_EVEN else F.get(F.array(*(F.lit(k).cast("bigint") for k in keys)), place.cast("int"))
+        source = source.withColumn("bucket", named)
+        # by bucket first: else each task writes a file for each bucket, the square of the input in files
+        source.repartition(len(keys), "bucket").write.bucketBy(len(keys), "bucket").option("path", self.path).saveAsTable(self.name)
         self.frame = self.spark.table(self.name)
+        del source
+        release(self.spark)
+
+    def discard(self) -> None:
+        self.drop()
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -105,6 +152,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def buckets(source: DataFrame) -> int:
+    """Hash buckets for an input: one a partition, more where that makes them larger than ``BUCKET_BYTES`` (as far as Spark knows
+    the input's size, and as many as it allows a table)."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // BUCKET_BYTES) if size < UNKNOWN_BYTES else 1
+    return max(partitions(source.sparkSession), min(wanted, MOST_BUCKETS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, even_keys, partitions, table
+from ._spark import Scratch, bounded_batches, even_keys, partitions, table, tidy
 from ._words import mix, ranges
 
 NEAREST = 20
@@ -310,6 +310,7 @@ def _sampled(known: DataFrame, rows: int) -> np.ndarray:
     return np.array([r[0] for r in drawn.select("vector").collect()], np.float64)
 
 
+@tidy
 def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = NEAREST, vec_id: str = "vec_id", vector: str = "embedding", is_query: Column | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest of each query among all vectors but its own id.
 

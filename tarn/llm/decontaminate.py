@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, bounded_batches, table
+from ._spark import Scratch, bounded_batches, table, tidy
 from ._words import ALNUM_LOWER, Words, chunks, words
 
 #: Words of an occurring window.
@@ -245,6 +245,7 @@ _FOUND = T.StructType(
 )
 
 
+@tidy
 def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """For each text: doc_id, [text,] n_words, spans (merged [begin, end) word ranges hit), items (ids, sorted).
 
@@ -284,6 +285,7 @@ def _pass(matcher, drop_text: bool):
     return over
 
 
+@tidy
 def remove(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns, without hit spans; those with more than ``max_coverage`` of their words hit go.
 

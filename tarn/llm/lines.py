@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, partitions, shared_folder, table
+from ._spark import _WRITTEN, Scratch, partitions, shared_folder, table, tidy
 
 #: Documents that make a line common.
 MIN_DOCS = 10
@@ -62,6 +62,12 @@ class LineRuns:
         self.name, self.folder = f"tarn_lines_{uuid.uuid4().hex}", shared_folder(spark)
         self.buckets, self.written = partitions(spark), 0
         self.levels: list[list[str]] = []
+        _WRITTEN.append(self)
+
+    def discard(self) -> None:
+        """Drops every run, those included that a compaction was about."""
+        for k in range(1, self.written + 1):
+            self._drop(f"{self.name}_{k}")
 
     def _write(self, counts: DataFrame) -> str:
         self.written += 1
@@ -114,6 +120,7 @@ class LineRuns:
         self.levels = []
 
 
+@tidy
 def mark_common_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, str, str]:
     """The documents and the positions (from 0) of their common lines, null where there are none.
 

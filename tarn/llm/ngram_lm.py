@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, even_keys, partitions, table
+from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, table, tidy
 from ._words import SPACED_LOWER, chunks, mix, words
 
 #: Context frequencies 0, 1, 2-3, 4-7, ... have weights of their own; the last bucket takes all above.
@@ -220,6 +220,7 @@ def _score(keys: list[int], total: int, types: int, weights):
     return over
 
 
+@tidy
 def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, in log10.
 
@@ -227,7 +228,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch, keys = Scratch(spark, "lm"), even_keys(spark, partitions(spark))
+    scratch, keys = Scratch(spark, "lm"), even_keys(spark, buckets(docs))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     stage = Bucketed(source, ("doc_id", F.octet_length("text")), keys)
     staged = stage.frame

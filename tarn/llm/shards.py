@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, partitions, table
+from ._spark import Scratch, partitions, table, tidy
 
 SHARDS = 8
 #: Ranges are this many times the session's shuffle partitions, within bounds.
@@ -55,6 +55,7 @@ def _splitters(keyed: DataFrame, total: int, ranges: int) -> list[int]:
     return sorted({*cuts, *(k + 1 for k in hot if k < _LAST)})
 
 
+@tidy
 def shard_documents(docs: DataFrame, *, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard (from 0), slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession

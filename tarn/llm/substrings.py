@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, even_keys, partitions, table
+from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, table, tidy
 from ._words import SPACED, chunks, ngram_hashes, words
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 8
@@ -290,12 +290,13 @@ def _remove(names: list[int], prefixes, keep_text: bool):
     return over
 
 
+@tidy
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """doc_id, n_words, n_removed, spans (the removed [begin, end) word ranges, maximal), and kept (the other words,
     joined by spaces) or, without ``keep_text``, kept_sha256."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch, names = Scratch(spark, "substrings"), even_keys(spark, partitions(spark))
+    scratch, names = Scratch(spark, "substrings"), even_keys(spark, buckets(docs))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     staged = Bucketed(source, ("doc_id", F.octet_length("text")), names)
     texts = staged.frame.groupBy("bucket")
