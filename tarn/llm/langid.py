@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, bounded_batches, table
+from ._spark import Scratch, bounded_batches, table, tidy
 from ._words import bytes_of, chunks
 
 UNKNOWN = "und"
@@ -34,7 +34,7 @@ UNKNOWN = "und"
 ORDER = 4
 #: The classifier is fitted on at most this many texts of each language, those with the least hash of the id; texts of
 #: more bytes than this are taken, whole, only where a language has too few others.
-TEXTS_A_LANGUAGE, BYTES_A_TEXT = 300, 10_000
+TEXTS_A_LANGUAGE, BYTES_A_TEXT = 1500, 20_000
 #: Every so-manieth training text calibrates the rejection instead of being counted.
 CALIBRATE_EVERY = 5
 #: Every letter of the training texts has a symbol of its own. A symbol takes at least so many bits, more where there are
@@ -346,6 +346,7 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+@tidy
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TEXTS_A_LANGUAGE, most_bytes: int = BYTES_A_TEXT) -> Model:
     """A model from a bounded sample: at most ``texts`` whole texts of each language that has any, those of at most
     ``most_bytes`` bytes first. Executors count and score, so the driver holds n-grams and not texts."""
@@ -443,6 +444,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         ready = _ready(own)
+        try:
+            yield from judged(own, ready, stream)
+        finally:  # an idle worker must not hold the tables while other stages run
+            _WORKER.clear()
+            del ready
+
+    def judged(own: Model, ready: Lookup | None, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for batch in chunks(whole, text, 1 << 19):
                 column = batch.column(batch.schema.get_field_index(text))

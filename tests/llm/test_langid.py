@@ -99,7 +99,7 @@ def test_wide_keys_give_the_same_scores(monkeypatch):
 
 
 def test_languages_of_long_texts_only_are_learned(spark):
-    rows = [(i, t * 300, "en") for i, t in enumerate(EN)] + [(i + 50, t, "de") for i, t in enumerate(DE)]
+    rows = [(i, t * 900, "en") for i, t in enumerate(EN)] + [(i + 50, t, "de") for i, t in enumerate(DE)]
     assert min(len(t) for _, t, k in rows if k == "en") > langid.BYTES_A_TEXT / 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     model = langid.train(docs, most_bytes=5000)
