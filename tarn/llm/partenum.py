@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, even_keys, partitions, release, table
+from ._spark import Scratch, bounded_batches, buckets, even_keys, release, table, tidy
 from ._words import SPACED_LOWER, bytes_of, chunks, mix, ngram_hashes, ranges, words
 from .components import components
 
@@ -63,8 +63,8 @@ FLUSH = 1 << 20
 FILTER_BITS = 1 << 23
 #: Members of a bucket that one group compares; a larger bucket is dealt out in blocks of about so many.
 BLOCK = 2048
-#: Members whose sketches a task holds at once (a group is never cut), and bytes of sketches compared at once.
-HELD_MEMBERS, COMPARED = 1 << 14, 1 << 25
+#: Members whose sketches a task holds at once (a group is never cut), bytes of sketches and pairs compared at once.
+HELD_MEMBERS, COMPARED, PAIRS = 1 << 13, 1 << 23, 1 << 18
 _GOLD, _CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -458,7 +458,7 @@ def _pairs_apart(nearest: bool):
             rows = np.arange(len(n))
             many = np.searchsorted(place, place - n + 100 * n // PERCENT, side="right") - rows - 1
             found = [np.zeros((3, 0), np.int64)]
-            cuts = np.searchsorted(np.cumsum(many), np.arange(1 << 20, int(many.sum()) + 1, 1 << 20))
+            cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, int(many.sum()) + 1, PAIRS))
             for part in np.split(rows, np.unique(cuts)):
                 i, j = np.repeat(part, many[part]), ranges(part + 1, many[part])
                 use = (root[i] != root[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
@@ -533,10 +533,22 @@ def _stars(source: DataFrame, described: DataFrame, sets_from, scratch: Scratch)
     """(bucket, size, leader, member) of all buckets of more than one set."""
     spark = source.sparkSession
     common = spark.sparkContext.broadcast(_most_frequent(described, scratch))
-    dealt = source.mapInArrow(_deal(sets_from, common, even_keys(spark, partitions(spark))), "part long, blob binary")
+    dealt = source.mapInArrow(_deal(sets_from, common, even_keys(spark, buckets(source))), "part long, blob binary")
     return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, size long, leader long, member long"), "stars")
 
 
+def _merged(root: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """(node, root) after more links: components of the old roots, which are far fewer than the links so far."""
+    between = _apart(links, root, keep=True).select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    between = scratch.write(between.distinct(), f"between-{turn}")
+    if between.isEmpty():
+        return root
+    new = scratch.write(components(between, scratch, f"cc-{turn}").select(F.col("node").alias("old"), F.col("root").alias("new")), f"new-{turn}")
+    moved = root.join(new, root["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = new.join(root.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return scratch.write(moved.unionByName(alone), f"roots-{turn}")
+
+
 def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that are linked."""
     spark = source.sparkSession
@@ -545,14 +557,11 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, s
     release(spark)
     # each member with one leader first: that settles most buckets
     one = scratch.write(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs-1")
-    links = scratch.write(_checked(one, sets), "links-1")
-    root = scratch.write(components(links, scratch, "cc-1"), "roots-1")
+    root = scratch.write(components(scratch.write(_checked(one, sets), "links-1"), scratch, "cc-1"), "roots-1")
     release(spark)
     # then the other leaders, where they are not in the same component already
     again = scratch.write(_apart(tried, root).join(one, ["a", "b"], "left_anti"), "pairs-2")
-    more = scratch.write(_checked(again, sets), "links-2")
-    links = links.unionAll(more)
-    root = scratch.write(components(links, scratch, "cc-2"), "roots-2")
+    root = _merged(root, scratch.write(_checked(again, sets), "links-2"), scratch, 2)
     release(spark)
     # then pairs across components in the buckets that still have several: the nearest of each member, which joins
     # nearly all that can be joined, and at last all that are left
@@ -566,8 +575,7 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, s
         if pairs.isEmpty():
             continue
         sets = scratch.write(_fetched(source, pairs, classes, sets_from), f"sets-{turn}")
-        links = links.unionAll(scratch.write(_checked(pairs, sets), f"links-{turn}"))
-        root = scratch.write(components(links, scratch, f"cc-{turn}"), f"roots-{turn}")
+        root = _merged(root, scratch.write(_checked(pairs, sets), f"links-{turn}"), scratch, turn)
         tested = tested.unionAll(pairs)
         scratch.drop(f"sets-{turn}")
         release(spark)
@@ -575,6 +583,7 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, s
     return root
 
 
+@tidy
 def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, handle_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, handle (of the set), component_id (the least id reachable by links).
 
@@ -612,14 +621,16 @@ def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("handle")).alias("handle"), component.alias("component_id"))
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component."""
+def _apart(pairs: DataFrame, root: DataFrame, keep: bool = False) -> DataFrame:
+    """The pairs (a, b) that are not in one component, with ``keep`` the roots too (null: a set that is linked with none)."""
     of_a = root.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     of_b = root.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return known.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+    known = known.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    return known if keep else known.drop("root_a", "root_b")
 
 
+@tidy
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, one row of each component. Texts without words all stay.
 
