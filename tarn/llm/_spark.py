@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that a Python worker is handed at once.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: Bytes of input (as its files have them) in a hash bucket, at most about: a task holds a bucket's texts.
 BUCKET_BYTES = 128 << 20
 #: Spark's bound on the buckets of a table, and the size from which on an estimate says that the size is not known.
@@ -63,6 +65,45 @@ def tidy(operator: Callable) -> Callable:
     return inner
 
 
+def _trim() -> None:
+    """Gives a Python worker's free memory back, which its allocators keep otherwise while it waits for more work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def over_batches(work: Callable) -> Callable:
+    """A function of a stream of batches that gives memory back at its end."""
+
+    def inner(stream: Iterator) -> Iterator:
+        try:
+            yield from work(stream)
+        finally:
+            _trim()
+
+    return inner
+
+
+def over_group(work: Callable) -> Callable:
+    def inner(group):
+        try:
+            return work(group)
+        finally:
+            _trim()
+
+    return inner
+
+
+def over_groups(work: Callable) -> Callable:
+    def inner(left, right):
+        try:
+            return work(left, right)
+        finally:
+            _trim()
+
+    return inner
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors.
 

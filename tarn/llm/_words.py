@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (one longer text makes a longer chunk).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _RADIX = 0x5851F42D4C957F2D  # odd and 5 mod 8: powers have the longest period
 _MASK = (1 << 64) - 1

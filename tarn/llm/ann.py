@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, even_keys, partitions, table, tidy
+from ._spark import Scratch, bounded_batches, even_keys, over_batches, over_groups, partitions, table, tidy
 from ._words import mix, ranges
 
 NEAREST = 20
@@ -333,14 +333,14 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = NEA
     hashes = spark.sparkContext.broadcast(own)
 
     most = max(CELL_ROWS, n * TABLES // HOT_CELLS)
-    codes = known.select("vector").mapInArrow(_over_codes(hashes, length), "code long, n long")
+    codes = known.select("vector").mapInArrow(over_batches(_over_codes(hashes, length)), "code long, n long")
     full = codes.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
     hot = {r["code"]: -(-r["n"] // most) for r in full.collect()}  # at most HOT_CELLS
     parts = max(n * TABLES, n_asked * TABLES * len(own.sets) if n_asked > PART_ROWS else 0) // PART_ROWS + 1
     names = even_keys(spark, partitions(spark)) if parts <= partitions(spark) else [int(p) for p in np.random.default_rng(5).integers(0, 1 << 62, parts)]
-    here = known.select("vec_id", "vector").mapInArrow(_deal(hashes, hot, names, length, False), dealt)
-    ask = asked.select("vec_id", "vector").mapInArrow(_deal(hashes, hot, names, length, True), dealt)
-    met = ask.groupBy("part").cogroup(here.groupBy("part")).applyInArrow(_meet(k, length), result)
+    here = known.select("vec_id", "vector").mapInArrow(over_batches(_deal(hashes, hot, names, length, False)), dealt)
+    ask = asked.select("vec_id", "vector").mapInArrow(over_batches(_deal(hashes, hot, names, length, True)), dealt)
+    met = ask.groupBy("part").cogroup(here.groupBy("part")).applyInArrow(over_groups(_meet(k, length)), result)
     ranked = scratch.write(_nearest(met, k), "ranked")
 
     few = ranked.groupBy("query_id").agg(F.count("*").alias("found")).filter(F.col("found") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
@@ -350,7 +350,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, k: int = NEA
         one = F.array(F.lit(0).cast("bigint")).alias("keys")
         here = known.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("part"), "vec_id", "vector", one)
         ask = left.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("part"), "vec_id", "vector", one)
-        exact = _nearest(ask.groupBy("part").cogroup(here.groupBy("part")).applyInArrow(_meet(k, length), result), k)
+        exact = _nearest(ask.groupBy("part").cogroup(here.groupBy("part")).applyInArrow(over_groups(_meet(k, length)), result), k)
         ranked = ranked.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

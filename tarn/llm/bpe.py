@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_batches, table
+from ._spark import bounded_batches, over_batches, table
 from ._words import chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -92,7 +92,7 @@ def encode_texts(docs: DataFrame, *, text: str = "text", into: str = "ids", dige
                     columns.append(pa.array([hashlib.sha256(tokenizer.decode_bytes(x)).hexdigest() for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(over, schema)
+    return docs.mapInArrow(over_batches(over), schema)
 
 
 def decode_ids(encoded: DataFrame, *, ids: str = "ids", into: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -108,7 +108,7 @@ def decode_ids(encoded: DataFrame, *, ids: str = "ids", into: str = "decoded", p
             raw = [None if x is None else tokenizer.decode_bytes(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, into])
 
-    return encoded.mapInArrow(over, schema)
+    return encoded.mapInArrow(over_batches(over), schema)
 
 
 DIGESTS = T.StructType(
@@ -141,7 +141,7 @@ def digest_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                     of_bytes.append(hashlib.sha256(tokenizer.decode_bytes(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, np.int64)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", *DIGESTS.names])
 
-    return source.mapInArrow(over, schema)
+    return source.mapInArrow(over_batches(over), schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, bounded_batches, table, tidy
+from ._spark import Scratch, bounded_batches, over_batches, table, tidy
 from ._words import ALNUM_LOWER, Words, chunks, words
 
 #: Words of an occurring window.
@@ -260,7 +260,7 @@ def find(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str
     scratch = Scratch(spark, "decontaminate")
     for k, (matcher, last) in enumerate(_with_last(_blocks(items, item_id, item_text, window, block_words), Matcher.of([], [], window))):
         shared = spark.sparkContext.broadcast(matcher)
-        out = out.mapInArrow(_pass(shared, last and not keep_text), schema)
+        out = out.mapInArrow(over_batches(_pass(shared, last and not keep_text)), schema)
         if not last:
             out = _written(out, scratch, k, shared)
     columns = ["doc_id", *(["text"] if keep_text else []), "n_words", "spans", "items"]
@@ -302,8 +302,8 @@ def remove(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
     for k, (matcher, last) in enumerate(_with_last(_blocks(items, item_id, item_text, window, block_words), Matcher.of([], [], window))):
         shared = spark.sparkContext.broadcast(matcher)
         if last:
-            return out.mapInArrow(_cut(shared, at, max_coverage), schema)
-        out = _written(out.mapInArrow(_mark(shared, at), with_spans), scratch, k, shared)
+            return out.mapInArrow(over_batches(_cut(shared, at, max_coverage)), schema)
+        out = _written(out.mapInArrow(over_batches(_mark(shared, at)), with_spans), scratch, k, shared)
     raise AssertionError
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, bounded_batches, table, tidy
+from ._spark import Scratch, bounded_batches, over_batches, table, tidy
 from ._words import bytes_of, chunks
 
 UNKNOWN = "und"
@@ -369,10 +369,10 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(named, "text")).cast("bigint") - 1)
     scratch = Scratch(spark, "langid")
     sample = scratch.write(drawn.select("lang", "nth", "text").repartition(F.xxhash64("lang", "nth")), "sample")
-    letters = sample.select("text").mapInArrow(_over_letters, "letter bigint").distinct().toArrow()["letter"].to_numpy()
+    letters = sample.select("text").mapInArrow(over_batches(_over_letters), "letter bigint").distinct().toArrow()["letter"].to_numpy()
     blank = _blank(languages, np.sort(letters).astype(np.uint32))
     key = packed(np.zeros(0, np.uint8), *reversed(shape(blank.letters))).dtype
-    held = sample.mapInArrow(_over_grams(spark.sparkContext.broadcast(blank)), "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    held = sample.mapInArrow(over_batches(_over_grams(spark.sparkContext.broadcast(blank))), "k int, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n")).toArrow()
     number, gram, n = held["k"].to_numpy(), held["gram"].to_numpy().view(key), held["n"].to_numpy()
     grams = []
     for k in range(len(languages)):
@@ -380,7 +380,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         mine = mine[np.argsort(gram[mine])]
         grams.append((gram[mine], n[mine]))
     model = _smoothed(blank, grams)
-    scored = sample.mapInArrow(_over_scores(spark.sparkContext.broadcast(model)), "k int, nth bigint, entropy double, letters bigint").orderBy("k", "nth").toArrow()
+    scored = sample.mapInArrow(over_batches(_over_scores(spark.sparkContext.broadcast(model))), "k int, nth bigint, entropy double, letters bigint").orderBy("k", "nth").toArrow()
     k, nth, entropy, n = (scored[x].to_numpy() for x in ("k", "nth", "entropy", "letters"))
     scratch.drop("sample")
     return _calibrated(model, k, counts(nth), entropy, n)
@@ -473,7 +473,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 added = [pa.array(pred, pa.string()), pa.array(score), lowest, pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(name for name, _ in _OUT)])
 
-    return docs.mapInArrow(over, schema)
+    return docs.mapInArrow(over_batches(over), schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, table, tidy
+from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, over_group, over_groups, table, tidy
 from ._words import SPACED_LOWER, chunks, mix, words
 
 #: Context frequencies 0, 1, 2-3, 4-7, ... have weights of their own; the last bucket takes all above.
@@ -232,13 +232,13 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     stage = Bucketed(source, ("doc_id", F.octet_length("text")), keys)
     staged = stage.frame
-    sent = staged.groupBy("bucket").applyInArrow(_send(keys), "part long, bucket long, gram int, keys binary, counts binary")
-    totals = sent.groupBy("part").applyInArrow(_total, "bucket long, part long, gram int, counts binary, types long, tokens long")
+    sent = staged.groupBy("bucket").applyInArrow(over_group(_send(keys)), "part long, bucket long, gram int, keys binary, counts binary")
+    totals = sent.groupBy("part").applyInArrow(over_group(_total), "bucket long, part long, gram int, counts binary, types long, tokens long")
     totals = scratch.write(totals, "totals")
     types, total = (int(x or 0) for x in totals.filter("bucket is null and gram = 1").agg(F.sum("types"), F.sum("tokens")).first())
     back = totals.filter("bucket is not null").select("bucket", "part", "gram", "counts")
 
-    cells = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_held_out(keys, total), _CELLS)
+    cells = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(over_groups(_held_out(keys, total)), _CELLS)
     cells = cells.groupBy("frequency", "unigram", "bigram").agg(*(F.sum(x).alias(x) for x in ("n", "p1", "p2")))
     rows = cells.orderBy("frequency", "unigram", "bigram").toPandas()  # bounded by the grid of cells
     n = rows["n"].to_numpy(float)
@@ -247,7 +247,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
         weights[:] = [1.0, 0.0, 0.0]
 
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(keys, total, types, spark.sparkContext.broadcast(weights)), schema)
+    scored = staged.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(over_groups(_score(keys, total, types, spark.sparkContext.broadcast(weights))), schema)
     scored = scratch.write(scored, "scores")
     stage.drop()
     scratch.drop("totals")

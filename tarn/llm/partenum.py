@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, bounded_batches, buckets, even_keys, release, table, tidy
+from ._spark import Scratch, bounded_batches, buckets, even_keys, over_batches, over_group, release, table, tidy
 from ._words import SPACED_LOWER, bytes_of, chunks, mix, ngram_hashes, ranges, words
 from .components import components
 
@@ -495,14 +495,14 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     one = classes.select(F.col("handle").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
     two = classes.select(F.col("handle").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
     near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    return near.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y").mapInArrow(_maybe, "a long, b long")
+    return near.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y").mapInArrow(over_batches(_maybe), "a long, b long")
 
 
 def _fetched(source: DataFrame, pairs: DataFrame, classes: DataFrame, sets_from) -> DataFrame:
     """(handle, features) of the sets in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("handle")).distinct()
     maybe = source.sparkSession.sparkContext.broadcast(_filter_of(classes.join(wanted, "handle", "left_semi").select("digest")))
-    sets = source.mapInArrow(_fetch(sets_from, maybe), "handle long, features binary")
+    sets = source.mapInArrow(over_batches(_fetch(sets_from, maybe)), "handle long, features binary")
     return sets.join(wanted, "handle", "left_semi").dropDuplicates(["handle"])
 
 
@@ -511,7 +511,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("handle").alias("a"), F.col("features").alias("x"))
     two = sets.select(F.col("handle").alias("b"), F.col("features").alias("y"))
     both = pairs.select("a", "b").join(two, "b").join(one, "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(over_batches(_verify), "a long, b long")
 
 
 def _most_frequent(described: DataFrame, scratch: Scratch) -> np.ndarray:
@@ -533,8 +533,8 @@ def _stars(source: DataFrame, described: DataFrame, sets_from, scratch: Scratch)
     """(bucket, size, leader, member) of all buckets of more than one set."""
     spark = source.sparkSession
     common = spark.sparkContext.broadcast(_most_frequent(described, scratch))
-    dealt = source.mapInArrow(_deal(sets_from, common, even_keys(spark, buckets(source))), "part long, blob binary")
-    return scratch.write(dealt.groupBy("part").applyInArrow(_buckets, "bucket long, size long, leader long, member long"), "stars")
+    dealt = source.mapInArrow(over_batches(_deal(sets_from, common, even_keys(spark, buckets(source)))), "part long, blob binary")
+    return scratch.write(dealt.groupBy("part").applyInArrow(over_group(_buckets), "bucket long, size long, leader long, member long"), "stars")
 
 
 def _merged(root: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
@@ -568,7 +568,7 @@ def _links(source: DataFrame, stars: DataFrame, classes: DataFrame, sets_from, s
     tested = one.unionAll(again)
     buckets = _apart(stars.select(F.col("leader").alias("a"), F.col("member").alias("b"), "bucket"), root).select("bucket").distinct()
     for turn, nearest in enumerate((True, True, False), 3):
-        found = _members(stars, buckets, root, classes).mapInArrow(_pairs_apart(nearest), "bucket long, a long, b long")
+        found = _members(stars, buckets, root, classes).mapInArrow(over_batches(_pairs_apart(nearest)), "bucket long, a long, b long")
         found = scratch.write(found, f"found-{turn}")
         buckets = found.select("bucket").distinct()  # a bucket without such a pair will never have one
         pairs = scratch.write(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
@@ -594,7 +594,7 @@ def join_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "partenum")
     source = _read(docs, doc_id, text)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    described = scratch.write(source.mapInArrow(_describe(shingle, handle_bits), f"doc_id {id_type}, n_shingles long, handle long, check long, digest long, sketch binary, feature long, sets long"), "described")
+    described = scratch.write(source.mapInArrow(over_batches(_describe(shingle, handle_bits)), f"doc_id {id_type}, n_shingles long, handle long, check long, digest long, sketch binary, feature long, sets long"), "described")
     known = described.filter("n_shingles > 0")
     # handles of different sets: with 64 bits and 10^10 sets about three are to be expected
     twice = [r[0] for r in known.groupBy("handle").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("handle").collect()]

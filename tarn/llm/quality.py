@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import Scratch, bounded_batches, table
+from ._spark import Scratch, bounded_batches, over_batches, table
 from ._words import SPACED, bytes_of, chunks, mix, words
 
 #: Labelled rows that the classifier is fitted on at most (those with the least hash of the id).
@@ -106,7 +106,7 @@ def describe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
                 values = statistics(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(values.T))], schema.names)
 
-    return source.mapInArrow(over, schema)
+    return source.mapInArrow(over_batches(over), schema)
 
 
 Test = tuple[int, bool, float]  # statistic, above?, threshold

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, table, tidy
+from ._spark import Bucketed, Scratch, bounded_batches, buckets, even_keys, over_group, over_groups, table, tidy
 from ._words import SPACED, chunks, ngram_hashes, words
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 8
@@ -300,19 +300,19 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     staged = Bucketed(source, ("doc_id", F.octet_length("text")), names)
     texts = staged.frame.groupBy("bucket")
-    sent = texts.applyInArrow(_send_anchors(names), "part long, bucket long, keys binary, many binary, cells binary")
-    anchors = scratch.write(sent.groupBy("part").applyInArrow(_count_anchors, "bucket long, part long, back binary"), "anchors")
+    sent = texts.applyInArrow(over_group(_send_anchors(names)), "part long, bucket long, keys binary, many binary, cells binary")
+    anchors = scratch.write(sent.groupBy("part").applyInArrow(over_group(_count_anchors), "bucket long, part long, back binary"), "anchors")
     cells = np.zeros(1 << CELL_BITS, np.int64)
     for row in anchors.filter("bucket is null").collect():
         counted = np.frombuffer(row["back"], np.int64).reshape(-1, 2)
         cells[counted[:, 0]] += counted[:, 1]
     prefixes = spark.sparkContext.broadcast(Prefixes.of(cells, group_suffixes))
     back = anchors.filter("bucket is not null")
-    sent = texts.cogroup(back.groupBy("bucket")).applyInArrow(_send_suffixes(names, prefixes), "part long, bucket long, sent binary")
-    firsts = scratch.write(sent.groupBy("part").applyInArrow(_subtrees, "bucket long, part long, anchors binary, firsts binary"), "firsts")
+    sent = texts.cogroup(back.groupBy("bucket")).applyInArrow(over_groups(_send_suffixes(names, prefixes)), "part long, bucket long, sent binary")
+    firsts = scratch.write(sent.groupBy("part").applyInArrow(over_group(_subtrees), "bucket long, part long, anchors binary, firsts binary"), "firsts")
     both = back.select("bucket", "part", F.col("back").alias("anchors"), F.lit(None).cast("binary").alias("firsts")).unionByName(firsts)
     last = "kept string" if keep_text else "kept_sha256 string"
-    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(_remove(names, prefixes, keep_text), f"doc_id long, n_words long, n_removed long, spans array<array<bigint>>, {last}")
+    out = texts.cogroup(both.groupBy("bucket")).applyInArrow(over_groups(_remove(names, prefixes, keep_text)), f"doc_id long, n_words long, n_removed long, spans array<array<bigint>>, {last}")
     out = scratch.write(out, "kept")
     staged.drop()
     scratch.drop("anchors", "firsts")
