@@ -635,14 +635,24 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     """The documents, all columns, one row of each component. Texts without words all stay.
 
     The row with the least id stays, nulls last; among rows of one id that with the least hash of the text, then the first.
-    Rows are numbered and written, so what goes is that row and not its id.
+def _with_row(docs: DataFrame, row: str) -> DataFrame:
+    """The documents with a column that tells their rows apart, the same however often they are read: their place in their file where
+    they are plain files, else a number that is written with them."""
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation")):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+        return docs.select("*", place.alias(row))
+    numbered = docs.withColumn(row, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("index")))
+    return Scratch(docs.sparkSession, "keep-one").write(numbered, "numbered")
+
+
+    What goes is a row and not its id.
     """
     row, key = "__row", "__key"
-    numbered = Scratch(docs.sparkSession, "keep-one").write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = _with_row(docs, row)
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(row).alias("row"))
-    classes = join_classes(numbered.select(order.alias(key), F.col(text).alias("text")), doc_id=key)
+    classes = join_classes(rows.select(order.alias(key), F.col(text).alias("text")), doc_id=key)
     gone = classes.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id.row").alias("__gone"))
-    return numbered.join(gone, numbered[row] == gone["__gone"], "left_anti").select(*docs.columns)
+    return rows.join(gone, rows[row] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def op1_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -142,10 +143,15 @@ def test_repeated_ids_and_empty_table(spark):
     assert partenum.join_classes(docs.limit(0)).count() == 0
 
 
-def test_keep_one_goes_by_row(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_keep_one_goes_by_row(spark, tmp_path, stored):
     near, other, third = "a b c d e f g h", "one two three four five six seven", "p q r s t u v w x y z"
     rows = [(1, near, 0), (1, near, 1), (2, near, 2), (None, near, 3), (None, other, 4), (None, other, 5), (2, third, 6), (9, " ", 7), (9, " ", 8), (1, "x1 x2 x3 x4 x5 x6", 9), (4, "x1 x2 x3 x4 x5 x6", 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3, "n")
+    if stored:  # rows are told apart by their places in files then
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        assert "numbered" not in "".join(partenum._with_row(docs, "__row").inputFiles())
     kept = partenum.keep_one(docs)
     assert kept.schema == docs.schema
     left = {r.n for r in kept.collect()}
