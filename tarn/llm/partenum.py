@@ -448,6 +448,9 @@ def _pairs_apart(nearest: bool):
     """The pairs of a group in different components that sizes and sketches do not rule out, with the bucket; with ``nearest``
     only that of each member with the one whose sketch differs least. Rows are sorted by group and size."""
 
+    def named(bucket: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["bucket", "a", "b"])
+
     def over(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups_of(stream):
             bucket, low, high, n, node, root, own = (group.column(k).to_numpy() for k in ("bucket", "low", "high", "n", "node", "root", "own"))
@@ -457,7 +460,7 @@ def _pairs_apart(nearest: bool):
             place = (np.cumsum(new) << 32) + n  # sizes rise in a group: those that can be linked follow at once
             rows = np.arange(len(n))
             many = np.searchsorted(place, place - n + 100 * n // PERCENT, side="right") - rows - 1
-            found = [np.zeros((3, 0), np.int64)]
+            least, other = np.full(len(n), 1 << 40), np.zeros(len(n), np.int64)
             cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, int(many.sum()) + 1, PAIRS))
             for part in np.split(rows, np.unique(cuts)):
                 i, j = np.repeat(part, many[part]), ranges(part + 1, many[part])
@@ -465,15 +468,17 @@ def _pairs_apart(nearest: bool):
                 i, j = i[use], j[use]
                 apart = least_differences(sketch, i, sketch, j)
                 can = apart <= (n[i] + n[j]) // 7
-                found.append(np.stack([i[can], j[can], apart[can]]))
-            i, j, apart = np.concatenate(found, axis=1)
+                i, j, apart = i[can], j[can], apart[can]
+                if not nearest:
+                    yield named(bucket[i], node[i], node[j])
+                for member, with_ in ((i, j), (j, i)) if nearest else ():
+                    order = np.lexsort((with_, apart, member))
+                    first = order[np.flatnonzero(np.diff(member[order], prepend=-1))]
+                    first = first[apart[first] < least[member[first]]]
+                    least[member[first]], other[member[first]] = apart[first], with_[first]
             if nearest:
-                member, other, gap = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-                order = np.lexsort((other, gap, member))
-                first = order[np.flatnonzero(np.diff(member[order], prepend=-1))]
-                i, j = member[first], other[first]
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[i], a, b)], ["bucket", "a", "b"])
+                some = np.flatnonzero(least < 1 << 40)
+                yield named(bucket[some], node[some], node[other[some]])
 
     return over
 
@@ -630,11 +635,6 @@ def _apart(pairs: DataFrame, root: DataFrame, keep: bool = False) -> DataFrame:
     return known if keep else known.drop("root_a", "root_b")
 
 
-@tidy
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, one row of each component. Texts without words all stay.
-
-    The row with the least id stays, nulls last; among rows of one id that with the least hash of the text, then the first.
 def _with_row(docs: DataFrame, row: str) -> DataFrame:
     """The documents with a column that tells their rows apart, the same however often they are read: their place in their file where
     they are plain files, else a number that is written with them."""
@@ -645,6 +645,11 @@ def _with_row(docs: DataFrame, row: str) -> DataFrame:
     return Scratch(docs.sparkSession, "keep-one").write(numbered, "numbered")
 
 
+@tidy
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, one row of each component. Texts without words all stay.
+
+    The row with the least id stays, nulls last; among rows of one id that with the least hash of the text, then the first.
     What goes is a row and not its id.
     """
     row, key = "__row", "__key"
