@@ -34,7 +34,7 @@ from ._words import SPACED, chunks, ngram_hashes, words
 
 WINDOW, SYMBOL, ANCHOR = 20, 4, 8
 #: Suffixes in a group, at most about.
-GROUP_SUFFIXES = 1_500_000
+GROUP_SUFFIXES = 500_000
 #: Prefixes are counted by so many bits of a suffix's first symbol, and lengthened by bits of the second.
 CELL_BITS = 14
 _NO_ID = np.iinfo(np.int64).max
