@@ -34,6 +34,14 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def _key(df: DataFrame, name: str) -> Column:
+    """The value as text, equal where values are: zero has no sign, one NaN."""
+    value = _quoted(name)
+    if isinstance(df.schema[name].dataType, T.FloatType | T.DoubleType):
+        value = F.when(value == 0, F.lit(0.0)).otherwise(value).cast(df.schema[name].dataType)
+    return value.cast("string")
+
+
 def _unpivot(row: DataFrame, entries: list[Column]) -> DataFrame:
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
@@ -80,7 +88,7 @@ def _counted(df: DataFrame) -> DataFrame:
     names = _columns(df)
     if not names:
         return _empty(df, "column_name string, cardinality bigint, rows bigint")
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("string").alias("v")) for c in names))).alias("p")).select("p.*")
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), _key(df, c).alias("v")) for c in names))).alias("p")).select("p.*")
     counts = pairs.groupBy("column_name", "v").agg(F.count("*").alias("n"))
     return counts.groupBy("column_name").agg(F.count("v").alias("cardinality"), F.sum("n").alias("rows"))
 
@@ -98,7 +106,7 @@ def _distinct(df: DataFrame) -> DataFrame:
     # one row for each distinct (column, value), so that several columns need no wide expansion
     exact = {}
     if few:
-        pairs = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), _quoted(c).cast("string").alias("v")) for i, c in enumerate(few)))).alias("p"))
+        pairs = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), _key(df, c).alias("v")) for i, c in enumerate(few)))).alias("p"))
         counted = pairs.select("p.*").filter("v is not null").distinct().groupBy("c").count()
         exact = {few[r["c"]]: r["count"] for r in counted.collect()}
     rows = [(c, n if (n := exact.get(c, 0)) and n <= EXACT_DISTINCT else estimate[c], first[0]) for c in names]
