@@ -2,6 +2,7 @@
 
 One aggregation gives ranges and estimates; columns with few distinct values are counted exactly in a second. The physical
 order is checked within chunks of the files in parallel and then between their ends. Empty tables have no statistics.
+Cardinality, density and histogram have an exact form that counts all rows.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 EXACT_DISTINCT, RELATIVE_ERROR = 10_000, 0.0173
 #: Rows a histogram is made from, its buckets, and the distinct strings up to which strings have one.
 SAMPLE_ROWS, BUCKETS, MOST_STRINGS = 10_000, 10, 50
-#: Consecutive rows of a file that one task checks for order.
-CHUNK_ROWS = 1 << 20
+#: Consecutive rows of a file that one task checks for order; about as many a range of an exact histogram, in at most so many ranges.
+CHUNK_ROWS, MOST_RANGES = 1 << 20, 1024
 _BASIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType)
 
 
@@ -133,13 +134,19 @@ def physical_order(df: DataFrame) -> DataFrame:
     return _unpivot(any_fall, entries).filter("is_physically_ordered is not null")
 
 
-def histogram(df: DataFrame, seed: int = 7) -> DataFrame:
+def histogram(df: DataFrame, seed: int = 7, exact: bool = False) -> DataFrame:
     """column_name, bucket (from 0), lower_bound, upper_bound (as strings), frequency.
 
-    Equal-depth buckets over at most ``SAMPLE_ROWS`` rows (all, if fewer), scaled to the table. Numbers always have one, strings only
-    with few distinct values.
+    Equal-depth buckets over at most ``SAMPLE_ROWS`` rows (all, if fewer), scaled to the table; with ``exact`` over all rows, nulls
+    last and never a bound of a bucket that holds values. Numbers always have one, strings only with few distinct values.
     """
     schema = "column_name string, bucket int, lower_bound string, upper_bound string, frequency bigint"
+    if exact:
+        total, texts = df.count(), [c for c in _columns(df) if _is_text(df, c)]
+        most = {r["column_name"]: r["cardinality"] for r in _distinct(df.select(*map(_quoted, texts))).collect()} if texts else {}
+        names = [c for c in _columns(df) if most.get(c, 0) <= MOST_STRINGS] if total else []
+        cuts = _cuts(df, [c for c in names if c not in texts], total)
+        return reduce(DataFrame.unionByName, (_over_all(df, c, total, cuts.get(c, [])) for c in names)) if names else _empty(df, schema)
     distinct = {r["column_name"]: (r["cardinality"], r["rows"]) for r in _distinct(df).collect()}
     names = [c for c in _columns(df) if c in distinct and (not _is_text(df, c) or distinct[c][0] <= MOST_STRINGS)]
     if not names:
@@ -163,6 +170,40 @@ def histogram(df: DataFrame, seed: int = 7) -> DataFrame:
     return reduce(DataFrame.unionByName, map(of, names))
 
 
+def _cuts(df: DataFrame, names: list[str], total: int) -> dict[str, list]:
+    """Column -> ascending values that part its rows into ranges of about ``CHUNK_ROWS``, at most ``MOST_RANGES``."""
+    parts = min(MOST_RANGES, -(-total // CHUNK_ROWS))
+    if parts < 2 or not names:
+        return {}
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    found = df.agg(*(F.percentile_approx(_quoted(c), shares) for c in names)).first()
+    return {c: sorted({v for v in values or [] if v == v}) for c, values in zip(names, found, strict=True)}
+
+
+def _range_of(value: Column, cuts: list, first: int = 0) -> Column:
+    """The number of cuts below the value, by bisection; NaN and null are above all."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(value <= F.lit(cuts[mid]), _range_of(value, cuts[:mid], first)).otherwise(_range_of(value, cuts[mid + 1 :], first + mid + 1))
+
+
+def _over_all(df: DataFrame, name: str, total: int, cuts: list) -> DataFrame:
+    """The buckets of all rows: distinct values with their counts are placed within ranges of values, and these after one another. A
+    value lies in as many buckets as its places span, so a frequent one is a row like any other."""
+    depth = -(-total // min(BUCKETS, total))
+    counts = df.groupBy(_quoted(name).alias("v")).agg(F.count("*").alias("n")).withColumn("range", _range_of(F.col("v"), cuts))
+    up_to = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("v").asc_nulls_last()))
+    placed = counts.withColumn("b", up_to)
+    if cuts:
+        before = counts.groupBy("range").agg(F.sum("n").alias("m")).select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"))  # a row a range
+        placed = placed.join(F.broadcast(before), "range").withColumn("b", F.col("before") + F.col("b"))
+    spans = placed.withColumn("a", F.col("b") - F.col("n")).select("v", "a", "b", F.explode(F.sequence(F.expr(f"a div {depth}"), F.expr(f"(b - 1) div {depth}"))).alias("bucket"))
+    n = F.least("b", (F.col("bucket") + 1) * depth) - F.greatest("a", F.col("bucket") * depth)
+    buckets = spans.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum(n).alias("frequency"))
+    return buckets.select(F.lit(name).alias("column_name"), F.col("bucket").cast("int"), F.col("low").cast("string").alias("lower_bound"), F.col("high").cast("string").alias("upper_bound"), "frequency")
+
+
 #: Tags of values in the catalog document. Fixed values of the format.
 TAGS: dict[type, str] = {T.IntegerType: "Int32", T.LongType: "Int64", T.FloatType: "Float32", T.DoubleType: "Float64", T.StringType: "String"}
 

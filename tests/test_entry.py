@@ -43,7 +43,7 @@ def large(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["stats_cardinality", "stats_density"])
+@pytest.mark.parametrize("name", ["stats_cardinality", "stats_density", "stats_histogram"])
 def test_large_tables_equal_their_sql(spark, large, name):
     folder, con = large
     got, want = workload.QUERIES[name](spark, folder), con.sql(workload.ORACLE_SQL[name])

@@ -159,6 +159,28 @@ def test_large_columns(spark):
     assert sum(b[4] for b in buckets if b[0] == "id") == n == 3 * SAMPLE_ROWS
 
 
+def test_exact_histogram_over_ranges(spark, monkeypatch):
+    import tarn.functions.statistics as s
+
+    monkeypatch.setattr(s, "CHUNK_ROWS", 1000)
+    n = 30_011
+    hot = "case when id < 12000 then 500 when id % 11 = 0 then null else id * 7919 % 30011 end"
+    df = spark.range(n).selectExpr(f"{hot} i", "case when id % 9 = 0 then double('NaN') else id % 4001 / 4 - 100 end x", "string(id % 3) few", "string(id) many", "float(null) none")
+    got = histogram(df, exact=True).collect()
+    data, depth = df.collect(), -(-n // 10)
+    for name in ("i", "x", "few", "none"):
+        column = sorted((r[name] for r in data), key=lambda v: (v is None, v is not None and v != v, 0 if v is None or v != v else v))
+        want = []
+        for k in range(0, n, depth):
+            part = column[k : k + depth]
+            values = [v for v in part if v is not None] or [None]
+            want.append((name, k // depth, *(None if v is None else "NaN" if v != v else str(v) for v in (values[0], values[-1])), len(part)))
+        assert sorted(tuple(r) for r in got if r["column_name"] == name) == want
+    assert {r["column_name"] for r in got} == {"i", "x", "few", "none"}
+    assert rows(histogram(df.select("i").limit(3), exact=True)) == [("i", k, "500", "500", 1) for k in range(3)]
+    assert histogram(df.limit(0), exact=True).count() == 0
+
+
 def test_physical_order_across_files_and_chunks(spark, tmp_path, monkeypatch):
     import tarn.functions.statistics as s
 
