@@ -189,3 +189,36 @@ def test_random_plans(spark):
             continue
         out = engine.run(plan)
         assert out.columns == names and sorted(rows(out)) == sorted(want), plan
+
+
+@pytest.mark.parametrize("op", ["GT", "GTE", "LT", "LTE"])
+def test_products_by_order_alone(spark, monkeypatch, op):
+    import tarn.operators.ordered as o
+
+    monkeypatch.setattr(o, "BLOCK_BITS", 2)
+    draw = random.Random(op)
+    values = [None, NAN, INF, -INF, -0.0, 0.0, 1.5, 1.5, *(draw.randrange(40) / 4 for _ in range(60))]
+    left = [(k, v, k % 4) for k, v in enumerate(values)] + [(0, 1.5, 0)] * 9
+    right = [(k, draw.choice(values), k % 3) for k in range(50)]
+    engine = Engine({"a": spark.createDataFrame(left, "id long, x double, g int").coalesce(1), "b": spark.createDataFrame(right, "id long, y double, h int").coalesce(1)})
+    product = scan("a").cross(scan("b"))
+    ordered = lambda x, y: x is not None and y is not None and holds(op, x, y)
+    pairs = [(*p, *q) for p in left for q in right]
+    text = lambda found: sorted(map(repr, found))
+    got = engine.run(product.filter("x", op, ColumnRef("y")))
+    assert got.columns == ["id", "x", "g", "id", "y", "h"] and text(rows(got)) == text(r for r in pairs if ordered(r[1], r[4]))
+    got = engine.run(product.filter("y", op, ColumnRef("x")).project(("h", "only")))
+    assert text(rows(got)) == text((r[5],) for r in pairs if ordered(r[4], r[1]))
+    more = product.filter_all(("x", op, ColumnRef("y")), ("g", "NE", ColumnRef("h"))).filter("g", "GT", 0).filter("h", "LT", 2).filter("g", "GTE", ColumnRef("h")).project("id", "y")
+    assert text(rows(engine.run(more))) == text((r[0], r[4]) for r in pairs if ordered(r[1], r[4]) and r[2] != r[5] and r[2] > 0 and r[5] < 2 and r[2] >= r[5])
+    assert rows(engine.run(product.filter("x", op, ColumnRef("y")).filter("g", "GT", 9))) == []
+
+
+def test_a_product_by_order_uses_all_cores_and_prunes(spark, tmp_path):
+    from tarn.operators.ordered import TASKS_A_CORE
+
+    a, b = spark.range(3000).selectExpr("id k", "id x"), spark.range(3000).selectExpr("id j", "id y")
+    got = Engine({"a": a.coalesce(1), "b": b.coalesce(1)}).run(scan("a").cross(scan("b")).filter("x", "GT", ColumnRef("y")).project("k", "j"))
+    assert got.rdd.getNumPartitions() >= TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert got.count() == 3000 * 2999 // 2
+    assert "Generate inline" in got._jdf.queryExecution().toString()
